@@ -19,26 +19,32 @@ SPACE, WINDOW, ROUNDS = r"[\x20\x09-\x0D]+", 5, 20
 MARKS = "#*$%&|<>"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda's variable, where an expression would be computed at each place it stands."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def repeated_words(words: Column) -> Column:
     """How many words lie in windows of five words that stand twice or more in the text.
 
     Windows are compared by 64-bit hash; the sorted (hash, place) pairs show repeated ones
     next to each other, and the length of their union is summed from place to place.
     """
-    n = F.size(words) - (WINDOW - 1)
-    hashes = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+
+    def hashes(w: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
 
     def covered(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        same = lambda p, x, k: F.coalesce(F.try_element_at(p, k)["h"] == x["h"], F.lit(False))
-        twice = F.filter(pairs, lambda x, k: same(pairs, x, k + 2) | F.when(k > 0, same(pairs, x, k)).otherwise(False))
-        at = F.array_sort(F.transform(twice, lambda x: x["i"]))
-        step = F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.try_element_at(at, k + 2) - x, F.lit(WINDOW))))
-        return F.aggregate(step, F.lit(0), lambda a, x: a + x)
-
-    any_twice = lambda h: F.size(F.array_distinct(h)) < F.size(h)
-    # bound once through a one-element array, so that the hashes aren't computed for each use
-    return F.when(n < 2, F.lit(0)).otherwise(F.element_at(F.transform(F.array(hashes), lambda h: F.when(any_twice(h), covered(h)).otherwise(F.lit(0))), 1)).cast("long")
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        same = lambda p, x, k: F.coalesce(F.get(p, k)["h"] == x["h"], F.lit(False))
+        twice = lambda p: F.filter(p, lambda x, k: same(p, x, k + 1) | same(p, x, k - 1))
+        places = lambda p: F.sort_array(F.transform(twice(p), lambda x: x["i"]))
+        steps = lambda at: F.transform(at, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - x, F.lit(WINDOW))))
+        total = lambda at: F.aggregate(steps(at), F.lit(0), lambda a, x: a + x)
+        return let(pairs, lambda p: let(places(p), total))
+
+    count = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0))
+    return let(words, lambda w: F.when(F.size(w) > WINDOW, let(hashes(w), count)).otherwise(F.lit(0))).cast("long")
 
 
 def measures(docs: DataFrame) -> DataFrame:

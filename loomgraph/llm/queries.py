@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, langid, pieces, pii, quality, resample, simhash, tokenfiles, warc
-from loomgraph.llm.shared import scratch
+from loomgraph.llm.shared import scratch, ship
 
 QUERIES, ORACLES = {}, {}
 
 
 def query(f):
-    QUERIES[f.__name__] = f
+    def run(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    QUERIES[f.__name__] = run
     return f
 
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.session import cut, shared_dir
@@ -16,7 +19,24 @@ from loomgraph.session import cut, shared_dir
 #: A side is broadcast only if its counted rows times a stated row width stay below this.
 BROADCAST_BYTES = 16 << 20
 
-__all__ = ["BROADCAST_BYTES", "cut", "join_checked", "open_input", "open_output", "scratch", "shared_dir", "strings", "utf32"]
+__all__ = ["BROADCAST_BYTES", "cut", "join_checked", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give executors this package, once for each application: they may not have the repository on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[2]
+    path = Path(tempfile.mkdtemp(prefix="loomgraph-")) / "loomgraph.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "loomgraph").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(path))
+    _SHIPPED.add(sc.applicationId)
 
 
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int = 64) -> DataFrame:

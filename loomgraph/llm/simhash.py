@@ -126,7 +126,7 @@ def plan(fps: DataFrame, distance: int, parts: tuple[int, ...] = (3, 4, 5)) -> P
                 total[BITS] += len(bits)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["cell", "n"])
 
-    cells = fps.mapInArrow(moments, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 65 x 64 rows
+    cells = fps.mapInArrow(moments, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()  # 65 x 64 rows
     table = np.zeros((BITS + 1) * BITS)
     for r in cells:
         table[r.cell] = r.n
