@@ -10,6 +10,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -73,12 +74,13 @@ def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, t, k = f"part-{TaskContext.get().partitionId():06d}.tok", tokenizer(path), 0
-        first = next(batches(it, 2000), None)
+        source = batches(it, 2000)
+        first = next(source, None)
         if first is None:
             return
         ids = []
         with open_output(f"{folder}/{name}") as out:
-            for b in (first, *(), *batches(it, 2000)):
+            for b in chain([first], source):
                 out.write(b"".join([x for text in b.column(1).to_pylist() for x in (t.encode(text), end)]))
                 ids.append(b.column(0))
         for c in ids:

@@ -12,6 +12,7 @@ import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -124,11 +125,12 @@ def write(pages: DataFrame, folder: str, least: int = MIN_BYTES, segment: int =
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, n = f"part-{TaskContext.get().partitionId():06d}.warc", 0
-        first = next(batches(it, 1000), None)
+        source = batches(it, 1000)
+        first = next(source, None)
         if first is None:
             return
         with open_output(f"{folder}/{name}") as out:
-            for b in (first, *(), *batches(it, 1000)):
+            for b in chain([first], source):
                 for page, url, payload, to, again in zip(*[c.to_pylist() for c in b.columns], strict=True):
                     out.write(b"".join(page_records(page, url, payload, to, bool(again), segment)))
                 n += b.num_rows
