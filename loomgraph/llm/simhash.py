@@ -29,6 +29,8 @@ from loomgraph.llm.components import components
 from loomgraph.llm.shared import cut, join_checked
 
 BITS, SHINGLE, SEED = 64, 4, 42
+#: Numbers of parts that plans are sought among. One number keeps the probes of a fingerprint the same at every size.
+PARTS = (3,)
 
 
 def fingerprint(text: str | None) -> int:
@@ -113,7 +115,7 @@ def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
     return best[budget]
 
 
-def plan(fps: DataFrame, distance: int, parts: tuple[int, ...] = (3, 4, 5)) -> Plan:
+def plan(fps: DataFrame, distance: int, parts: tuple[int, ...] = PARTS) -> Plan:
     """The cheapest grouping and thresholds; fps has distinct fingerprints, all of which are counted."""
 
     def moments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
