@@ -1,9 +1,9 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0). Documents with equal votes are one row
+Each rule votes good (1), bad (-1) or abstains (0); abstaining is no evidence. Documents with equal votes are one row
 of a table of at most 3^rules rows, over which expectation-maximisation estimates each
-rule's votes among good and bad documents and the share of good ones. The posterior
-probability of good quality replaces having to pass all rules.
+rule's votes among good and bad documents. The posterior probability of good quality
+replaces having to pass all rules.
 """
 
 from __future__ import annotations
@@ -69,55 +69,59 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def rules() -> dict[str, Column]:
-    """Votes from the measures; n_words may be 0."""
+    """Votes from the measures; n_words may be 0. Most rules only know bad signs and else abstain."""
     c, words = F.col, F.greatest(F.col("n_words"), F.lit(1))
-    vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
+    vote = lambda bad, good=None: F.when(bad, -1).otherwise(0 if good is None else F.when(good, 1).otherwise(0))
     mean = c("word_chars") / words
     return {
-        "length": vote(c("n_words") < 10, c("n_words") >= 40),
+        "length": vote(c("n_words") < 10),
         "word_length": vote((mean < 2.5) | (mean > 12), mean.between(3.5, 9)),
-        "symbols": vote(c("n_symbols") > 0.1 * words, c("n_symbols") <= 0.02 * words),
-        "repeated_lines": F.when(c("n_lines") < 2, 0).otherwise(vote(c("n_dup_lines") > 0.3 * c("n_lines"), c("n_dup_lines") == 0)),
-        "repeated_words": vote(c("n_repeat_words") > 0.2 * words, c("n_repeat_words") <= 0.05 * words),
-        "capitals": vote(c("n_upper") > 0.4 * c("word_chars"), (c("word_chars") > 0) & (c("n_upper") <= 0.15 * c("word_chars"))),
-        "shouting": vote(c("n_shouts") > 0.1 * words, c("n_shouts") <= 0.02 * words),
-        "sentences": F.when(c("n_words") < 30, 0).otherwise(vote(c("n_stops") * 60 < c("n_words"), c("n_stops") * 30 >= c("n_words"))),
+        "symbols": vote(c("n_symbols") > 0.1 * words),
+        "repeated_lines": vote((c("n_lines") > 1) & (c("n_dup_lines") > 0.3 * c("n_lines"))),
+        "repeated_words": vote(c("n_repeat_words") > 0.2 * words),
+        "capitals": vote(c("n_upper") > 0.4 * c("word_chars")),
+        "shouting": vote(c("n_shouts") > 0.1 * words),
+        "sentences": vote((c("n_words") >= 30) & (c("n_stops") * 60 < c("n_words")), (c("n_words") >= 30) & (c("n_stops") * 30 >= c("n_words"))),
     }
 
 
+#: A rule is taken to fail at most this share of good documents; GOOD_SHARE, the class balance, is given and not estimated, as abstentions can't tell it.
+FALSE_ALARMS, GOOD_SHARE = 0.01, 0.8
+
+
 class Fit:
-    """share: of good documents; good, bad: for each rule, P(votes good) among good and among bad documents that it votes on."""
+    """share: of good documents; good, bad: for each rule (P(votes good), P(votes bad)) among good and among bad documents."""
 
     def __init__(self, n: int):
-        self.share, self.good, self.bad = 0.8, [0.9] * n, [0.3] * n
+        self.share, self.good, self.bad = GOOD_SHARE, [(0.9, FALSE_ALARMS)] * n, [(0.6, 0.3)] * n
 
     def posterior(self, votes: list[Column]) -> Column:
         """P(good | votes); abstaining rules say nothing."""
         score = F.lit(log(self.share / (1 - self.share)))
         for v, g, b in zip(votes, self.good, self.bad, strict=True):
-            score = score + F.when(v > 0, log(g / b)).when(v < 0, log((1 - g) / (1 - b))).otherwise(0.0)
+            score = score + F.when(v > 0, log(g[0] / b[0])).when(v < 0, log(g[1] / b[1])).otherwise(0.0)
         return 1 / (1 + F.exp(-score))
 
 
 def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> Fit:
-    """EM over the counted vote patterns; each round is one aggregation to a single row. Counts are smoothed by one vote each way."""
+    """EM over the counted vote patterns; each round is one aggregation to a single row. Shares are smoothed and kept from 0 and 1."""
     out, cols = Fit(len(names)), [F.col(f"v_{n}") for n in names]
     table = cut(votes.groupBy(*[f"v_{n}" for n in names]).agg(F.count(F.lit(1)).cast("double").alias("n")).coalesce(1))
-    clip = lambda x: min(0.999, max(0.001, x))
+    clip = lambda x, low=0.001, high=0.999: min(high, max(low, x))
     for _ in range(rounds):
         p, n = F.col("p"), F.col("n")
         sums = [F.sum(n), F.sum(n * p)]
         for c in cols:
-            sums += [F.sum(F.when(c > 0, n * p)), F.sum(F.when(c != 0, n * p)), F.sum(F.when(c > 0, n * (1 - p))), F.sum(F.when(c != 0, n * (1 - p)))]
+            sums += [F.sum(F.when(c > 0, n * p)), F.sum(F.when(c < 0, n * p)), F.sum(F.when(c > 0, n * (1 - p))), F.sum(F.when(c < 0, n * (1 - p)))]
         row = [x or 0.0 for x in table.withColumn("p", out.posterior(cols)).agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
         if not row[0]:
             break
-        before = [out.share, *out.good, *out.bad]
-        out.share = clip(row[1] / row[0])
+        before, good, bad = [*out.good, *out.bad], row[1], row[0] - row[1]
         for i in range(len(cols)):
             a, b, c, d = row[2 + 4 * i : 6 + 4 * i]
-            out.good[i], out.bad[i] = clip((a + 9) / (b + 10)), clip((c + 3) / (d + 10))
-        if max(abs(x - y) for x, y in zip(before, [out.share, *out.good, *out.bad], strict=True)) < 1e-4:
+            out.good[i] = (clip((a + 9) / (good + 10)), clip(b / (good + 10), high=FALSE_ALARMS))
+            out.bad[i] = (clip((c + 6) / (bad + 10), 0.3), clip((d + 3) / (bad + 10), 2 * FALSE_ALARMS))
+        if max(abs(x - y) for a, b in zip(before, [*out.good, *out.bad], strict=True) for x, y in zip(a, b, strict=True)) < 1e-4:
             break
     return out
 
