@@ -173,7 +173,7 @@ def links(fps: DataFrame, distance: int, by: Plan | None = None) -> DataFrame:
         errors = F.array(*[F.lit(mask(c)) for e in range(most + 1) for c in combinations(by.parts[i], e)])
         return F.transform(errors, lambda e: F.struct(F.lit(i).alias("part"), value.bitwiseXOR(e).alias("value")))
 
-    used = [i for i, t in enumerate(by.thresholds) if t >= 0]
+    used = sorted((i for i, t in enumerate(by.thresholds) if t >= 0), key=lambda i: -by.thresholds[i])  # the same plan whichever part has which threshold
     home = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*[keys(i, 0) for i in used])).alias("k")).select("a", "k.*")
     probe = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*[keys(i, by.thresholds[i]) for i in used])).alias("k")).select("b", "k.*")
     near = home.join(probe, ["part", "value"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
