@@ -15,7 +15,6 @@ tasks' closure, so memory doesn't grow with the benchmark.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import batches
+from loomgraph.llm.shared import batches, held
 
 N, MATCH, MISMATCH, GAP = 3, 2, -1, -1
 THRESHOLD, SEED_SHARE, BLOCK_BYTES = 0.5, 0.2, 4 << 20
@@ -61,8 +60,15 @@ _R, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = pow(_R, -1, 1 << 64)
 
 
-@lru_cache(1)
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash's base and of its inverse, as many as were asked for at least."""
+    have = held("powers", lambda: [np.zeros(0, dtype=np.uint64)] * 2)
+    if len(have[0]) < size:
+        have[:] = _series(size)
+    return have[0], have[1]
+
+
+def _series(size: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for r in (_R, _INVERSE):
         p = np.full(size, r, dtype=np.uint64)

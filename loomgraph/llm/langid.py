@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.llm.shared import batches, utf32
+from loomgraph.llm.shared import batches, held, utf32
 
 #: A language is learned from the first TRAIN_CHARS letters and spaces of at most TRAIN_ROWS rows, of which each gives ROW_CHARS at most.
 TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 48, 1000, 24_000
@@ -149,9 +149,8 @@ class Model:
         return names, scores
 
 
-@lru_cache(2)
 def _model(texts: tuple[tuple[str, str], ...]) -> Model:
-    return Model(dict(texts))
+    return held(("langid", texts), lambda: Model(dict(texts)))
 
 
 def training(docs: DataFrame, rows: int = TRAIN_ROWS, row_chars: int = ROW_CHARS, chars: int = TRAIN_CHARS) -> dict[str, str]:

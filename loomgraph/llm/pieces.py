@@ -13,19 +13,18 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import batches
+from loomgraph.llm.shared import batches, held
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Encoded words of a generation that a worker remembers. Bounds memory, not results.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -285,10 +284,12 @@ class Model:
         return "".join(out)
 
 
-@lru_cache(2)
 def load(path: str, kind: int | None = None) -> Model:
-    with open(path, "rb") as f:
-        return Model(f.read(), kind)
+    def build() -> Model:
+        with open(path, "rb") as f:
+            return Model(f.read(), kind)
+
+    return held(("pieces", path, kind), build)
 
 
 SCHEMA = "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean"

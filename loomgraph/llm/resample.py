@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomgraph.llm.shared import batches, cut
+from loomgraph.llm.shared import batches, cut, held
 
 BUCKETS, LENGTH, SMOOTH = 1 << 14, 100.0, 0.1
 #: The target model is counted over at most so many labelled documents, those with the smallest hashes.
@@ -37,9 +36,8 @@ class _Hashes(dict):
         return h
 
 
-@lru_cache(1)
 def _hashes() -> _Hashes:
-    return _Hashes()
+    return held("hashes", _Hashes)
 
 
 def features(text: str | None) -> np.ndarray:

@@ -19,10 +19,23 @@ from loomgraph.session import cut, shared_dir
 #: A side is broadcast only if its counted rows times a stated row width stay below this.
 BROADCAST_BYTES = 16 << 20
 
-__all__ = ["BROADCAST_BYTES", "cut", "join_checked", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
+__all__ = ["BROADCAST_BYTES", "cut", "held", "join_checked", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
 
 
 _SHIPPED: set[str] = set()
+_HELD: dict = {}
+
+
+def held(key, build):
+    """build(), done once for as long as the same key is asked for.
+
+    A worker process holds one such value at a time: workers serve one stage after the
+    other, and what a stage leaves behind goes when the next one asks for its own.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = build()
+    return _HELD[key]
 
 
 def ship(spark: SparkSession) -> None:

@@ -9,7 +9,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.llm.pieces import model_path
-from loomgraph.llm.shared import batches, cut, listing, open_input, open_output, scratch
+from loomgraph.llm.shared import batches, cut, held, listing, open_input, open_output, scratch
 
 VOCABULARY, EOD, WIDTH = "byte_bpe_multi_50k.tiktoken", 50256, 2
 BLOCK = 8 << 20
@@ -59,9 +58,8 @@ class Tokenizer(dict):
         return self.plain(first) + b"".join([self[p] for p in rest])
 
 
-@lru_cache(1)
 def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer(path)
+    return held(("tokenizer", path), lambda: Tokenizer(path))
 
 
 def write(docs: DataFrame, folder: str, path: str | None = None) -> DataFrame:
