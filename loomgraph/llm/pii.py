@@ -33,15 +33,16 @@ CANDIDATE = "array<struct<start:int,end:int,value:string,context:string>>"
 
 
 def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, value, before>> of the pattern's leftmost non-overlapping matches; before is the text since the match before."""
+    """array<struct<start, end, value, before>> of the pattern's leftmost non-overlapping matches; before is the match before it and the text since."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast("array<struct<start:int,end:int,value:string,before:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), x["gap"].alias("before"))).alias("out"))
+        before = F.concat(acc["last"], x["gap"])
+        return F.struct(end.alias("at"), x["value"].alias("last"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), before.alias("before"))).alias("out"))
 
     return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
 
@@ -93,7 +94,7 @@ def context_of(before: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Identifier-like tokens outside the base spans: at least three digits or an @, and the word before."""
+    """Identifier-like tokens outside the base spans: at least three digits or an @, and the word before, which may be empty."""
     text = F.coalesce(text, F.lit(""))
     pattern = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9@])[^\x20\x09-\x0D]++"
     found = located(text, pattern)
@@ -104,7 +105,7 @@ def candidates(text: Column, base: Column) -> Column:
         start = x["start"] + lead
         return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("value"), context_of(x["before"]).alias("context"))
 
-    good = lambda x: (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 3) & (F.length(x["value"]) <= MOST_CHARS) & (x["context"] != "") & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    good = lambda x: (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 3) & (F.length(x["value"]) <= MOST_CHARS) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     return F.when(text.rlike("[0-9]{3}|[0-9][^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*[0-9]"), F.filter(F.transform(found, trim), good)).otherwise(F.array().cast(CANDIDATE))
 
 

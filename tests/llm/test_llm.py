@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomgraph.llm import decontam, langid, pieces, pii, quality, resample, simhash, tokenfiles, warc
 from loomgraph.llm.components import components
@@ -75,6 +76,16 @@ def test_pii_contexts(spark, docs, odd):
     assert pii.find(empty(odd)).count() == 0
 
 
+def test_pii_wherever_they_stand(spark):
+    """Trusted instances after another token with digits, at a line's start and at the text's start."""
+    rows = [(100 + i, f"hello staff-id: emp{i:03d}{i * 7:04d} there") for i in range(20)] + [(200 + i, f"x staff-id: foo{i}@bar.example.com") for i in range(6)]
+    rows += [(300, "emp0010007 first"), (301, "line\nemp0010007"), (302, "7536 emp0010007"), (303, "v2: 5555 (emp0010007), x")]
+    found = {r.doc_id: r.more for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.more}
+    assert {i: [(s.start, s.end) for s in found.get(i, [])] for i in range(300, 304)} == {300: [(0, 10)], 301: [(5, 15)], 302: [(5, 15)], 303: [(10, 20)]}
+    contexts = spark.createDataFrame([("id2: emp0017\n123 a 456",)], "text string").select(pii.candidates(F.col("text"), F.array().cast(pii.SPAN)).alias("c")).first().c
+    assert [(c.value, c.context) for c in contexts] == [("emp0017", "id2:"), ("123", ""), ("456", "a")]
+
+
 # 2
 def test_language(spark, docs, odd):
     texts = langid.training(docs)
