@@ -27,7 +27,7 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD_GAP = r"[\x20\x09-\x0D]+"
-ROUNDS, LEAST_CONFIDENCE, LEAST_SEEDS, LEAST_TRUSTED, MOST_CHARS = 3, 0.6, 3, 0.1, 64
+ROUNDS, LEAST_CONFIDENCE, LEAST_SEEDS, LEAST_TRUSTED, LONG = 3, 0.6, 3, 0.1, 64
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
 CANDIDATE = "array<struct<start:int,end:int,value:string,context:string>>"
 
@@ -90,7 +90,12 @@ def base_spans(text: Column) -> Column:
 
 def context_of(before: Column) -> Column:
     """The last word of a stretch of text, in lower case, with its punctuation; empty at a line's start."""
-    return F.lower(F.regexp_extract(F.substring_index(before, "\n", -1), r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]{1,40})[\x20\x09-\x0D]+$", 1))
+    return F.lower(F.regexp_extract(F.substring_index(before, "\n", -1), r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1))
+
+
+def named(value: Column) -> Column:
+    """What a value or context, in lower case, is counted by: itself, or its hash if it is long."""
+    return F.when(F.length(value) > LONG, F.sha2(value, 256)).otherwise(value)
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -100,18 +105,26 @@ def candidates(text: Column, base: Column) -> Column:
     found = located(text, pattern)
 
     def trim(x: Column) -> Column:
-        lead = F.length(x["value"]) - F.length(F.regexp_replace(x["value"], r"^[^\p{L}\p{N}]+", ""))
-        bare = F.regexp_replace(F.regexp_replace(x["value"], r"^[^\p{L}\p{N}]+", ""), r"[^\p{L}\p{N}]+$", "")
+        tail = F.regexp_replace(x["value"], r"^[^\p{L}\p{N}@]++", "")
+        lead = F.length(x["value"]) - F.length(tail)
+        bare = F.regexp_replace(tail, r"(?<![^\p{L}\p{N}@])[^\p{L}\p{N}@]++$", "")
         start = x["start"] + lead
         return F.struct(start.alias("start"), (start + F.length(bare)).alias("end"), bare.alias("value"), context_of(x["before"]).alias("context"))
 
-    good = lambda x: (F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 3) & (F.length(x["value"]) <= MOST_CHARS) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    return F.when(text.rlike("[0-9]{3}|[0-9][^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*[0-9]"), F.filter(F.transform(found, trim), good)).otherwise(F.array().cast(CANDIDATE))
+    good = lambda x: ((F.length(F.regexp_replace(x["value"], "[^0-9]", "")) >= 3) | x["value"].rlike(r"@.*[\p{L}\p{N}]|[\p{L}\p{N}].*@")) & ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    return F.when(text.rlike("@|[0-9]{3}|[0-9][^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*[0-9]"), F.filter(F.transform(found, trim), good)).otherwise(F.array().cast(CANDIDATE))
 
 
 def seed_contexts(text: Column, base: Column) -> Column:
     """array<struct<context, value>> of the base spans."""
-    return F.transform(base, lambda b: F.struct(context_of(text.substr(F.greatest(F.lit(1), b["start"] - 59), F.least(b["start"], F.lit(60)))).alias("context"), b["value"].alias("value")))
+
+    def context(b: Column) -> Column:
+        near = text.substr(F.greatest(F.lit(1), b["start"] - 59), F.least(b["start"], F.lit(60)))
+        # only where a word is longer than that, all the text before is looked at
+        whole = (b["start"] <= 60) | near.rlike(r"[\x20\x09-\x0D][^\x20\x09-\x0D]++[\x20\x09-\x0D]++$|\n[\x20\x09-\x0D]*+$|[^\x20\x09-\x0D]$")
+        return F.when(whole, context_of(near)).otherwise(context_of(text.substr(F.lit(1), b["start"])))
+
+    return F.transform(base, lambda b: F.struct(context(b).alias("context"), b["value"].alias("value")))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -128,15 +141,15 @@ def patterns(docs: DataFrame, table: DataFrame, rounds: int = ROUNDS, confidence
     Edges pattern-instance are aggregated before any join, and a word's places in the corpus
     are counted per word before they meet the patterns.
     """
-    seeded = table.select(F.explode("seeds").alias("x")).select("x.context", F.lower("x.value").alias("value"), F.lit(1).alias("seed"))
-    found = table.select(F.explode("found").alias("x")).select("x.context", F.lower("x.value").alias("value"), F.lit(0).alias("seed"))
+    seeded = table.select(F.explode("seeds").alias("x")).select(named(F.col("x.context")).alias("context"), named(F.lower("x.value")).alias("value"), F.lit(1).alias("seed"))
+    found = table.select(F.explode("found").alias("x")).select(named(F.col("x.context")).alias("context"), named(F.lower("x.value")).alias("value"), F.lit(0).alias("seed"))
     edges = cut(seeded.unionByName(found).filter("context <> ''").groupBy("context", "value").agg(F.count(F.lit(1)).alias("n"), F.max("seed").alias("seed")))
     if edges.filter("seed = 0").isEmpty():  # nothing to discover
         none = edges.filter("seed < 0").withColumn("score", F.lit(0.0))
         return none.select("context", "score"), none.select("value", "score")
     # only words that precede a candidate can find one
     useful = edges.filter("seed = 0").select("context").distinct()
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), WORD_GAP)).alias("context")).filter("context <> ''").groupBy("context").agg(F.count(F.lit(1)).alias("places"))
+    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), WORD_GAP)).alias("context")).filter("context <> ''").select(named(F.col("context")).alias("context")).groupBy("context").agg(F.count(F.lit(1)).alias("places"))
     places = cut(words.join(useful, "context", "left_semi"))
     graph = cut(edges.join(places, "context"))
     trust = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"))
@@ -155,7 +168,7 @@ def discovered(docs: DataFrame, table: DataFrame, **options) -> DataFrame:
     """Materialised: uid, doc_id, key, context spans, for rows that have some."""
     _, trusted = patterns(docs, table, **options)
     each = table.filter(F.size("found") > 0).select("uid", "doc_id", "key", F.explode("found").alias("x"))
-    good = join_checked(each.withColumn("value", F.lower("x.value")), cut(trusted.select("value")), ["value"], "left_semi")
+    good = join_checked(each.withColumn("value", named(F.lower("x.value"))), cut(trusted.select("value")), ["value"], "left_semi")
     span = F.struct(F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.lit(4).alias("kind"), F.col("x.value").alias("value"))
     return cut(good.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.collect_list(span).alias("more")))
 

@@ -86,6 +86,16 @@ def test_pii_wherever_they_stand(spark):
     assert [(c.value, c.context) for c in contexts] == [("emp0017", "id2:"), ("123", ""), ("456", "a")]
 
 
+def test_pii_addresses_and_long_values(spark):
+    """Handles and addresses without digits, values and contexts of any length."""
+    key, label = "ab12" * 32, "k" * 100 + ":"
+    rows = [(i, f"hello host-user: name{'abcdefgh'[i]}@intranet there") for i in range(8)] + [(10 + i, f"by host-user: foo{i}@bar.example.com") for i in range(6)]
+    rows += [(20, "so @alice, x"), (21, f"host-user: @alice x {key}"), (22, f"host-user: {key}"), (23, "a @ b")]
+    rows += [(30 + i, f"w {label} foo{i}@bar.example.com") for i in range(6)] + [(40, f"{label} 1234567"), (41, "q 1234567")]
+    found = {r.doc_id: [(s.start, s.end) for s in r.more] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.more}
+    assert found == {**{i: [(17, 31)] for i in range(8)}, 20: [(3, 9)], 21: [(11, 17), (20, 148)], 22: [(11, 139)], 40: [(102, 109)], 41: [(2, 9)]}
+
+
 # 2
 def test_language(spark, docs, odd):
     texts = langid.training(docs)
