@@ -1,12 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare pairs of words as seeds, then Smith-Waterman alignment.
 
 Words are lower-cased runs of ASCII letters, digits and underscores and of all characters
-beyond ASCII. Every 3-gram of a test item is a seed, weighted by log((N + 1) / documents
-that hold it), counted over all documents: rare seeds decide, common ones hardly count.
-Where the distinct seeds in a stretch of a document weigh SEED_SHARE of all the item's, the
-stretch is aligned word by word (match 2, mismatch -1, gap -1). The score is the best
-alignment's share of a verbatim copy's. Weights are compared within an item, so a passage
-that stands in a third of all documents is found like one that stands in two.
+beyond ASCII. Documents are aligned with an item word by word (match 2, mismatch -1, gap
+-1). The score is the best alignment's share of a verbatim copy's.
+
+Seeds miss no alignment of that score. A step from a match to the next gives 2 less the
+words it skips on the longer side, so steps of 2 or more skipped words give nothing. Every
+word of an item forms seeds with the next two; one that recurs in a document with as many
+words apart in both gives 2 if adjacent, else 1. If m words match, the m - 1 steps give at
+least the score less 2, so an item is aligned only where seeds at different places, within
+the width of an alignment, add up to that. The places whose seeds most documents hold,
+counted over all of them, are left out, and each lowers the sum needed by 2.
 
 Test items are taken in blocks of bounded size; each block is one pass with its seeds in the
 tasks' closure, so memory doesn't grow with the benchmark.
@@ -24,8 +28,9 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import batches, held
 
-N, MATCH, MISMATCH, GAP = 3, 2, -1, -1
-THRESHOLD, SEED_SHARE, BLOCK_BYTES = 0.5, 0.2, 4 << 20
+#: Words of a seed are at most NEAR apart: a step over more words costs as much as a match gives.
+NEAR, MATCH, MISMATCH, GAP = 2, 2, -1, -1
+THRESHOLD, BLOCK_BYTES = 0.5, 4 << 20
 #: ASCII characters that aren't of a word become spaces.
 SPACES = bytes(c if c >= 128 or chr(c).isalnum() or c == ord("_") else 32 for c in range(256))
 ROWS = 250
@@ -97,110 +102,132 @@ class Stream:
         self.hash = _mix((sums[self.end] - sums[self.start]) * inverse[self.start])
         self.first = np.searchsorted(self.start, np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
 
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of the n-grams that lie in one text, and their hashes."""
-        h = self.hash
-        if len(h) < n:
-            return np.zeros(0, np.int64), h[:0]
-        g = h[: len(h) - n + 1].copy()
-        for k in range(1, n):
-            g = _mix(g) + h[k : len(h) - n + 1 + k]
-        inside = np.ones(len(g), dtype=bool)
-        for k in range(1, n):
+    def pairs(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the words that one text has d words before another, and the hashes of both; of single words, where d is 0."""
+        n = max(0, len(self.hash) - d)
+        at = np.arange(n)
+        if not d:
+            return at, _mix(self.hash)
+        inside = np.ones(n, dtype=bool)
+        for k in range(1, d + 1):
             cut = self.first[1:] - k
-            inside[cut[(cut >= 0) & (cut < len(g))]] = False
-        at = np.flatnonzero(inside)
-        return at, _mix(g[at] + np.uint64(n))
+            inside[cut[(cut >= 0) & (cut < n)]] = False
+        at = at[inside]
+        return at, _mix(_mix(self.hash[at]) + self.hash[at + d] + np.uint64(2))
 
     def words(self, a: int, b: int) -> list[bytes]:
         return [self.blob[i:j] for i, j in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
 
 
 class Index:
-    """Seeds of some items. codes are sorted hashes; the postings of code k are item[at[k]:at[k + 1]]."""
+    """Seeds of some items: pairs of words, or words where one match is enough. codes are sorted hashes; the postings of code k are rows at[k] to at[k + 1] of item, place and apart."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
         split = [(i, words(t)) for i, t in items]
         split = [(i, w) for i, w in split if w]
+        self.threshold = threshold
         self.ids = [i for i, _ in split]
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, s in split for w in s))}
         self.items = [self.numbers(s) for _, s in split]
-        self.sizes = sorted({min(N, len(s)) for _, s in split})  # an item of fewer than N words is one seed
-        codes, item = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        self.sizes = np.array([len(s) for _, s in split], dtype=np.int64)
+        score = MATCH * self.sizes * threshold
+        self.least = score - MATCH
+        self.single = self.least <= 1e-9
+        self.least[self.single] = MATCH
+        self.width = np.maximum(self.sizes, np.ceil((MATCH + 1) * self.sizes - score).astype(np.int64))
         stream = Stream([b" ".join(s).decode("utf-8") for _, s in split])
-        for n in self.sizes:
-            at, g = stream.grams(n)
+        parts = [(np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)]
+        for d in range(NEAR + 1):
+            at, g = stream.pairs(d)
             k = np.searchsorted(stream.first, at, side="right") - 1
-            own = np.minimum(N, np.array([len(x) for x in self.items]))[k] == n
-            codes.append(g[own])
-            item.append(k[own])
-        pairs = np.unique(np.rec.fromarrays([np.concatenate(codes), np.concatenate(item)], names="c,i"))
-        self.codes, first = np.unique(pairs.c, return_index=True)
-        self.item, self.at = pairs.i.astype(np.int64), np.append(first, len(pairs))
+            own = self.single[k] == (d == 0)
+            parts.append((g[own], k[own], at[own] - stream.first[k[own]], np.full(own.sum(), d)))
+        self._file(*map(np.concatenate, zip(*parts, strict=True)))
+
+    def _file(self, code: np.ndarray, item: np.ndarray, place: np.ndarray, apart: np.ndarray) -> None:
+        order = np.argsort(code, kind="stable")
+        self.codes, first = np.unique(code[order], return_index=True)
+        self.item, self.place, self.apart, self.at = item[order], place[order], apart[order], np.append(first, len(order))
         self.maybe = np.zeros(1 << 18, dtype=bool)
         self.maybe[self.codes >> np.uint64(46)] = True
-        self.weigh(np.ones(len(self.codes), dtype=np.int64), 1)
 
     def numbers(self, ws: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.vocabulary.get, ws, repeat(-1)), dtype=np.int64, count=len(ws))
 
-    def weigh(self, holders: np.ndarray, documents: int) -> None:
-        self.weight = np.log((documents + 1) / np.maximum(holders, 1))
-        self.totals = np.bincount(self.item, weights=np.repeat(self.weight, np.diff(self.at)), minlength=len(self.items))
-
-    def hits(self, texts: list[str | None]) -> tuple[Stream, np.ndarray, np.ndarray]:
-        """The texts' words, and positions and seeds that hit."""
+    def choose(self, holders: np.ndarray) -> None:
+        """Leave out the places of each item whose seeds most texts hold, as many as take at most half of what is needed."""
+        starts = np.cumsum(self.sizes) - self.sizes
+        cell = starts[self.item] + self.place
+        common = np.bincount(cell, weights=np.repeat(holders, np.diff(self.at)), minlength=int(self.sizes.sum()))
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.lexsort((-common, owner))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order)) - starts[owner]
+        spare = np.where(self.single, 0, self.least // (2 * MATCH)).astype(np.int64)
+        keep = rank[cell] >= spare[self.item]
+        self.least = self.least - MATCH * spare
+        self._file(np.repeat(self.codes, np.diff(self.at))[keep], self.item[keep], self.place[keep], self.apart[keep])
+
+    def hits(self, texts: list[str | None]) -> tuple[Stream, np.ndarray, np.ndarray, np.ndarray]:
+        """The texts' words, and positions, seeds and words apart of the hits."""
         stream = Stream(texts)
-        ats, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for n in self.sizes:
-            at, g = stream.grams(n)
+        found = [[np.zeros(0, np.int64)] * 3]
+        for d in range(0 if self.single.any() else 1, NEAR + 1):
+            at, g = stream.pairs(d)
             may = self.maybe[g >> np.uint64(46)]
             at, g = at[may], g[may]
             k = np.minimum(np.searchsorted(self.codes, g), len(self.codes) - 1)
             good = self.codes[k] == g
-            ats.append(at[good])
-            seeds.append(k[good])
-        return stream, np.concatenate(ats), np.concatenate(seeds)
+            found.append([at[good], k[good], np.full(good.sum(), d)])
+        return (stream, *map(np.concatenate, zip(*found, strict=True)))
 
     def holders(self, texts: list[str | None]) -> np.ndarray:
         """For each seed, how many of the texts hold it."""
-        stream, at, seed = self.hits(texts)
+        stream, at, seed, _ = self.hits(texts)
         doc = np.searchsorted(stream.first, at, side="right") - 1
         return np.bincount(np.unique(doc * max(1, len(self.codes)) + seed) % max(1, len(self.codes)), minlength=len(self.codes))
 
-    def matches(self, texts: list[str | None], threshold: float) -> list[tuple[int, int, float, int, int]]:
+    def matches(self, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
         """(index of the text, item id, score, first word, past the last word) where a text holds an item; of several copies the best."""
-        stream, at, seed = self.hits(texts)
+        stream, at, seed, apart = self.hits(texts)
         if not len(at):
             return []
         reps = self.at[seed + 1] - self.at[seed]
         ends = np.cumsum(reps)
         flat = np.arange(ends[-1]) - np.repeat(ends - reps, reps) + np.repeat(self.at[seed], reps)
-        item, pos, seed = self.item[flat], np.repeat(at, reps), np.repeat(seed, reps)
+        item, place, pos = self.item[flat], self.place[flat], np.repeat(at, reps)
+        worth = MATCH + GAP * (np.maximum(1, np.maximum(self.apart[flat], np.repeat(apart, reps))) - 1)
         doc = np.searchsorted(stream.first, pos, side="right") - 1
         key = doc * len(self.items) + item
-        pair, first = np.unique(np.stack([key, seed]), axis=1, return_index=True) if len(key) else (np.zeros((2, 0), np.int64), key)
-        held, where = np.unique(pair[0], return_inverse=True)
-        share = np.bincount(where, weights=self.weight[pair[1]]) / self.totals[held % len(self.items)]
-        keep = np.isin(key, held[share >= SEED_SHARE - 1e-9])
-        order = np.lexsort((pos[keep], key[keep]))
-        key, pos, seed = key[keep][order], pos[keep][order], seed[keep][order]
+        _, where = np.unique(key, return_inverse=True)
+        may = np.bincount(where, weights=worth)[where] >= self.least[item] - 1e-9
+        key, item, place, pos, worth, doc = (x[may] for x in (key, item, place, pos, worth, doc))
+        # an alignment lies in two neighbouring stretches of its greatest width, and passes each place once
+        stretch = (pos - stream.first[doc]) // self.width[item]
+        back = stretch > 0
+        key, item, place, worth = (np.concatenate((x, x[back])) for x in (key, item, place, worth))
+        stretch = np.concatenate((stretch, stretch[back] - 1))
+        order = np.lexsort((-worth, place, stretch, key))
+        key, item, place, worth, stretch = (x[order] for x in (key, item, place, worth, stretch))
+        moved = lambda *xs: np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in xs], axis=0)))) if len(key) else np.zeros(0, np.int64)
+        best = moved(key, stretch, place)
+        key, item, worth, stretch = key[best], item[best], worth[best], stretch[best]
+        lead = moved(key, stretch)
+        good = lead[np.add.reduceat(worth, lead) >= self.least[item[lead]] - 1e-9] if len(lead) else lead
+        key, stretch = key[good], stretch[good]
         found = []
         for lo, hi in _runs(key) if len(key) else ():
             d, k = divmod(int(key[lo]), len(self.items))
-            own = self.items[k]
-            span, begin, stop = max(len(own), N), int(stream.first[d]), int(stream.first[d + 1])
-            cuts = np.flatnonzero(np.diff(pos[lo:hi]) > span) + 1
+            own, width = self.items[k], int(self.width[k])
+            begin, stop = int(stream.first[d]), int(stream.first[d + 1])
+            cuts = np.flatnonzero(np.diff(stretch[lo:hi]) > 1) + 1
             best = (0.0, 0, 0)
             for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), hi - lo], strict=True):
-                distinct = np.unique(seed[lo + i : lo + j])
-                if self.weight[distinct].sum() < SEED_SHARE * self.totals[k] - 1e-9:
-                    continue
-                a, b = max(begin, int(pos[lo + i]) - span), min(stop, int(pos[lo + j - 1]) + N + span)
+                a, b = begin + int(stretch[lo + i]) * width, min(stop, begin + (int(stretch[lo + j - 1]) + 2) * width)
                 score, start, end = smith_waterman(own, self.numbers(stream.words(a, b)))
                 if score / (MATCH * len(own)) > best[0]:
                     best = (score / (MATCH * len(own)), a - begin + start, a - begin + end)
-            if best[0] >= threshold:
+            if best[0] >= self.threshold:
                 found.append((d, self.ids[k], *best))
         return found
 
@@ -224,27 +251,22 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple
         yield sorted(block)
 
 
-def fit(docs: DataFrame, items: list[tuple[int, str]]) -> Index:
-    """An index of a block of items with seeds weighted over all documents."""
-    index = Index(items)
+def fit(docs: DataFrame, items: list[tuple[int, str]], threshold: float = THRESHOLD) -> Index:
+    """An index of a block of items with seeds chosen by their rarity in all documents."""
+    index = Index(items, threshold)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(index.codes), dtype=np.int64), 0
-        for b in it:
-            n += b.num_rows
-            for part in batches([b], ROWS):
-                total += index.holders(part.column(0).to_pylist())
+        total = np.zeros(len(index.codes), dtype=np.int64)
+        for part in batches(it, ROWS):
+            total += index.holders(part.column(0).to_pylist())
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[seen], n))], ["seed", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["seed", "n"])
 
     counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # a row for each seed of the block
-    holders, documents = np.zeros(len(index.codes), dtype=np.int64), 0
+    holders = np.zeros(len(index.codes), dtype=np.int64)
     for r in counted:
-        if r.seed < 0:
-            documents = r.n
-        else:
-            holders[r.seed] = r.n
-    index.weigh(holders, documents)
+        holders[r.seed] = r.n
+    index.choose(holders)
     return index
 
 
@@ -260,12 +282,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     out = None
     for items in blocks(benchmark):
-        index = fit(docs, items)
+        index = fit(docs, items, threshold)
 
         def run(it: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches(it, ROWS):
                 ids = b.column(0).to_pylist()
-                rows = [(ids[d], *m) for d, *m in index.matches(b.column(1).to_pylist(), threshold)]
+                rows = [(ids[d], *m) for d, *m in index.matches(b.column(1).to_pylist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word"])
 
@@ -277,12 +299,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, unchanged, that hold a copy of no item."""
     for items in blocks(benchmark):
-        index = fit(docs, items)
+        index = fit(docs, items, threshold)
 
         def run(it: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches(it, ROWS):
                 keep = np.ones(b.num_rows, dtype=bool)
-                keep[[m[0] for m in index.matches(b.column(b.schema.get_field_index("text")).to_pylist(), threshold)]] = False
+                keep[[m[0] for m in index.matches(b.column(b.schema.get_field_index("text")).to_pylist())]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -146,6 +146,39 @@ def test_decontamination(spark, docs, odd):
     assert {(r.doc_id, r.item_id) for r in decontam.contaminated(odd, short).collect()} == {(6, 1), (1, 3), (None, 3)}
 
 
+def test_seeds_miss_no_alignment(spark, docs, monkeypatch):
+    """Spread insertions, drops and replacements, and texts of few words, against alignment of whole texts."""
+    rng = np.random.default_rng(5)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = {r.item_id: r.text.lower().split() for r in bench.collect()}
+    edits = [
+        lambda w: [y for i, x in enumerate(w) for y in ((x, "zz") if i % 2 else (x,))],
+        lambda w: [y for x in w for y in (x, "zz")],
+        lambda w: ["zz" if i % 3 == 2 else x for i, x in enumerate(w)],
+        lambda w: [x for i, x in enumerate(w) if i % 3 != 2],
+        lambda w: [y for x in w for y in ((x, "zz"), ("zz",), (), (x,), (x,), (x,))[rng.integers(6)]],
+    ]
+    rows = [(10_000 + 100 * i + k, " ".join(["before", *edit(w), "after"] * (1 + k % 2))) for i, w in items.items() for k, edit in enumerate(edits)]
+    few = {1000 + i: [f"w{x}" for x in rng.integers(0, 5, rng.integers(1, 12))] for i in range(40)}
+    rows += [(100_000 + i, " ".join(f"w{x}" for x in rng.integers(0, 8, 60))) for i in range(40)]
+    table = docs.select("doc_id", "text").limit(50).union(spark.createDataFrame(rows, "doc_id long, text string"))
+    both = bench.select("item_id", "text").union(spark.createDataFrame([(i, " ".join(w)) for i, w in few.items()], "item_id long, text string"))
+    texts = {r.doc_id: decontam.words(r.text) for r in table.collect()}
+    want = {}
+    for r in both.collect():
+        item = decontam.words(r.text)
+        known = {w: k for k, w in enumerate(dict.fromkeys(item))}
+        for d, own in texts.items():
+            if (d < 100_000 or r.item_id >= 1000) and 2 * sum(w in set(own) for w in item) >= len(item):
+                score = decontam.smith_waterman(np.array([known[w] for w in item]), np.array([known.get(w, -1) for w in own]))[0] / 2 / len(item)
+                if score >= 0.5:
+                    want[d, r.item_id] = score
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(table, both).collect()} == want
+    assert sum(d == 10_000 + 100 * i + k for d, i in want for k in range(4) if i < 1000) == 4 * len(items)
+    monkeypatch.setattr(decontam, "blocks", lambda _: ([(r.item_id, r.text) for r in both.collect()[k::3]] for k in range(3)))
+    assert sorted(r.doc_id for r in decontam.keep_clean(table, both).collect()) == sorted(set(texts) - {d for d, _ in want})
+
+
 def test_smith_waterman():
     rng = np.random.default_rng(1)
     for _ in range(30):
