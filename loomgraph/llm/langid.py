@@ -22,6 +22,8 @@ from loomgraph.llm.shared import batches, held, utf32
 #: A language is learned from the first TRAIN_CHARS letters and spaces of at most TRAIN_ROWS rows, of which each gives ROW_CHARS at most.
 TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 48, 1000, 24_000
 CHUNK, LANES = 2048, 4096
+#: A language's most frequent symbols have columns in its table; transitions by others are looked up.
+COLUMNS = 255
 UNKNOWN = "und"
 
 
@@ -47,7 +49,11 @@ def letters(text: str) -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a symbol sequence as a dense table; -1 where no transition leads on."""
+    """Suffix automaton of a symbol sequence as a dense table; -1 where no transition leads on.
+
+    Of more than COLUMNS symbols the rarer ones share the last column, which is empty, and
+    their transitions are sorted by state and symbol.
+    """
 
     def __init__(self, sequence: list[int], width: int):
         following: list[dict[int, int]] = [{}]
@@ -75,22 +81,46 @@ class Automaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        self.table = np.full((len(following), width), -1, dtype=np.int32)
+        self.width, self.column = width, None
+        if width > COLUMNS:
+            often = np.argsort(-np.bincount(sequence, minlength=width), kind="stable")[: COLUMNS - 1]
+            self.column = np.full(width, COLUMNS - 1, dtype=np.uint16)
+            self.column[often] = np.arange(len(often))
+        self.table = np.full((len(following), min(width, COLUMNS)), -1, dtype=np.int32)
+        self.root = np.zeros(width, dtype=np.int64)
+        rare = []
         for s, edges in enumerate(following):
             for c, t in edges.items():
-                self.table[s, c] = t
+                k = c if self.column is None else int(self.column[c])
+                if self.column is None or k < COLUMNS - 1:
+                    self.table[s, k] = t
+                else:
+                    rare.append((s * width + c, t))
+        self.root[list(following[0])] = list(following[0].values())
+        self.rare = np.array(sorted(rare), dtype=np.int64).reshape(-1, 2).T.copy()
+
+    def _step(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Where symbols with and without a column lead from the states."""
+        k = self.column[c]
+        to = self.table[state, k]
+        far = np.flatnonzero(k == COLUMNS - 1)
+        if len(far) and self.rare.shape[1]:
+            key = state[far] * self.width + c[far]
+            at = np.minimum(np.searchsorted(self.rare[0], key), self.rare.shape[1] - 1)
+            to[far] = np.where(self.rare[0, at] == key, self.rare[1, at], -1)
+        return to
 
     def phrases(self, lanes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases of each lane (column of lanes, longest first)."""
         flat, width = self.table.ravel(), self.table.shape[1]
-        root = np.maximum(self.table[0], 0)
+        root = self.root
         state = np.zeros(lanes.shape[1], dtype=np.int64)
         count = (lengths > 0).astype(np.int64)
         active = np.searchsorted(-lengths, -np.arange(lanes.shape[0]), side="left")
         for t in range(lanes.shape[0]):
             r = active[t]
             c = lanes[t, :r]
-            to = flat[state[:r] * width + c]
+            to = flat[state[:r] * width + c] if self.column is None else self._step(state[:r], c)
             lost = to < 0
             if t:
                 count[:r] += lost
@@ -105,8 +135,7 @@ class Model:
         self.langs = sorted(texts)
         parts = {k: letters(texts[k]) for k in self.langs}
         known = np.unique(np.concatenate([np.zeros(1, np.uint32), *parts.values()]))
-        known = known[:254] if len(known) > 254 else known  # more distinct letters share the last symbol
-        self.ids = np.full(0x110000, len(known), dtype=np.uint16)
+        self.ids = np.full(0x110000, len(known), dtype=np.uint16 if len(known) < 1 << 16 else np.uint32)
         self.ids[known] = np.arange(len(known))
         self.ids[0] = 0
         self.automata = [Automaton(self.ids[parts[k]].tolist(), len(known) + 1) for k in self.langs]
@@ -128,7 +157,7 @@ class Model:
         for at in range(0, len(order), LANES):
             part = order[at : at + LANES]
             lengths = np.array([len(pieces[k]) for k in part])
-            lanes = np.zeros((len(part), lengths[0]), dtype=np.uint16)
+            lanes = np.zeros((len(part), lengths[0]), dtype=self.ids.dtype)
             for row, k in enumerate(part):
                 lanes[row, : lengths[row]] = pieces[k]
             lanes = np.ascontiguousarray(lanes.T)

@@ -126,6 +126,29 @@ def test_cross_parsing():
     assert a.phrases(lane, np.array([len(x)]))[0] == phrases
 
 
+def test_languages_of_many_letters():
+    """Each training letter is its own symbol, whatever other languages there are; phrases as plain Python finds them."""
+    rng = np.random.default_rng(2)
+    starts = {"zh": (0x4E00, 3000), "zh2": (0x4E00, 3000), "ko": (0xAC00, 2000), "en": (0x61, 26), "ru": (0x430, 32), "ka": (0x10D0, 33), "am": (0x1200, 70), "ii": (0xA000, 400)}
+    texts = {}
+    for lang, (first, n) in starts.items():
+        vocabulary = ["".join(chr(first + k) for k in rng.integers(0, n, 2 + len(lang))) for _ in range(900)]
+        texts[lang] = [" ".join(rng.choice(vocabulary, m)) for m in (4000, 60, 60)]
+    model = langid.Model({k: t[0][: langid.TRAIN_CHARS] for k, t in texts.items()})
+    assert model.predict([t for k in model.langs for t in texts[k][1:]])[0] == [k for k in model.langs for _ in range(2)]
+    for lang, probe in (("zh", "zh"), ("zh", "zh2"), ("zh2", "zh"), ("ko", "ko"), ("ii", "ii"), ("en", "en")):
+        hay = "".join(map(chr, langid.letters(texts[lang][0][: langid.TRAIN_CHARS])))
+        x = np.array([c for c in langid.letters(texts[probe][1]) if chr(c) in hay])
+        assert len(x) > 50
+        needle, at, phrases = "".join(map(chr, x)), 0, 0
+        while at < len(needle):
+            n = 1
+            while at + n < len(needle) and needle[at : at + n + 1] in hay:
+                n += 1
+            at, phrases = at + n, phrases + 1
+        assert model.automata[model.langs.index(lang)].phrases(model.ids[x][:, None], np.array([len(x)]))[0] == phrases
+
+
 # 3
 def test_decontamination(spark, docs, odd):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
