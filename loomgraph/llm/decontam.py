@@ -298,8 +298,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, unchanged, that hold a copy of no item."""
+    every = docs
     for items in blocks(benchmark):
-        index = fit(docs, items, threshold)
+        index = fit(every, items, threshold)
 
         def run(it: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches(it, ROWS):

@@ -202,6 +202,15 @@ def test_seeds_miss_no_alignment(spark, docs, monkeypatch):
     assert sorted(r.doc_id for r in decontam.keep_clean(table, both).collect()) == sorted(set(texts) - {d for d, _ in want})
 
 
+def test_blocks_are_fitted_on_all_rows(spark, docs, monkeypatch):
+    rows, fit = [], decontam.fit
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    monkeypatch.setattr(decontam, "blocks", lambda _: iter([items[:20], items[20:]]))
+    monkeypatch.setattr(decontam, "fit", lambda d, *more: rows.append(d.count()) or fit(d, *more))
+    left = decontam.keep_clean(docs, None).count()
+    assert rows == [docs.count()] * 2 and left < docs.count()
+
+
 def test_smith_waterman():
     rng = np.random.default_rng(1)
     for _ in range(30):
