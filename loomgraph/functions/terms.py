@@ -18,18 +18,19 @@ def canonical(term: Column) -> Column:
     return F.when(t.startswith("<") & t.endswith(">"), t.substr(F.lit(2), F.length(t) - 2)).otherwise(t)
 
 
-def expand_prefix(term: Column, prefixes: dict[str, str]) -> Column:
-    """Expand ``name:local`` where the name is declared; literals, blank nodes and unknown names stay.
+def expand_prefix(term: Column, prefixes: dict[str, str] | Column) -> Column:
+    """Expand ``name:local`` where the name is declared, in a dict or a map column; literals, blank nodes and unknown names stay.
 
     >>> # expand_prefix(F.lit("ex:a"), {"ex": "http://e/"}) evaluates to "http://e/a"
     """
-    if not prefixes:
-        return term
-    table = F.create_map(*[F.lit(x) for pair in sorted(prefixes.items()) for x in pair])
+    if isinstance(prefixes, dict):
+        if not prefixes:
+            return term
+        prefixes = F.create_map(*[F.lit(x) for pair in sorted(prefixes.items()) for x in pair])
     name = F.substring_index(term, ":", 1)
     local = term.substr(F.length(name) + 2, F.length(term))
     closed = term.startswith('"') | term.startswith("_:") | term.startswith("<") | ~term.contains(":")
-    return F.when(closed, term).otherwise(F.coalesce(F.concat(F.try_element_at(table, name), local), term))
+    return F.when(closed, term).otherwise(F.coalesce(F.concat(F.try_element_at(prefixes, name), local), term))
 
 
 def term_kind(term: Column) -> Column:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from loomgraph.operators.ranking import ranked
 from loomgraph.session import cut
 
+#: Ids of the predicates are broadcast if their terms have at most so many bytes in all.
+BROADCAST_BYTES = 16 << 20
+SALTS = 64
+
 
 class TermDictionary:
     """term STRING, id LONG with ids dense from 0 in the order of terms."""
@@ -18,32 +21,37 @@ class TermDictionary:
 
     @classmethod
     def build(cls, triples: DataFrame) -> TermDictionary:
-        """Ids follow the terms' byte order.
-
-        Terms are range-partitioned; ranks inside a range are shifted by the sizes of the
-        ranges before it, so no single task sorts all terms.
-        """
+        """Ids follow the terms' byte order; the table is written once."""
         terms = triples.select(F.explode(F.array("s", "p", "o")).alias("term")).distinct()
-        ranged = cut(terms.repartitionByRange("term").withColumn("__part", F.spark_partition_id()))
-        sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))  # a row for each partition
-        before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        rank = F.row_number().over(Window.partitionBy("__part").orderBy("term"))
-        out = ranged.withColumn("__rank", rank).join(before.select("__part", "before"), "__part")
-        return cls(out.select("term", (F.col("before") + F.col("__rank") - 1).cast(T.LongType()).alias("id")))
+        return cls(cut(ranked(terms, ["term"], "id").select("term", "id")))
+
+    def _mapped(self, df: DataFrame, column: str, key: str, value: str) -> DataFrame:
+        """df with <column>_new: the dictionary's value where its key is the column's."""
+        return df.join(self.df.select(F.col(key).alias(column), F.col(value).alias(f"{column}_new")), column, "left")
+
+    def _mapped_few(self, df: DataFrame, column: str, key: str, value: str) -> DataFrame:
+        """The same for a column of few values, each of many rows: the side is broadcast if small, else hot values are salted."""
+        side = cut(self.df.join(df.select(F.col(column).alias(key)).distinct(), key, "left_semi")).select(F.col(key).alias(column), F.col(value).alias(f"{column}_new"))
+        size = side.agg(F.coalesce(F.sum(F.octet_length(F.col(column).cast("string")) + F.octet_length(F.col(f"{column}_new").cast("string")) + 16), F.lit(0)).alias("n")).first().n
+        if size <= BROADCAST_BYTES:
+            return df.join(F.broadcast(side), column, "left")
+        salted = side.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
+        return df.withColumn("__salt", salt).join(salted, [column, "__salt"], "left").drop("__salt")
 
     def encode(self, triples: DataFrame) -> DataFrame:
         """s, p, o as ids; a term that isn't known is null."""
-        out = triples
-        for c in ("s", "p", "o"):
-            out = out.join(self.df.select(F.col("term").alias(c), F.col("id").alias(f"{c}_id")), c, "left")
-        return out.select(*[F.col(f"{c}_id").alias(c) for c in ("s", "p", "o")])
+        out = self._mapped_few(triples.select("s", "p", "o"), "p", "term", "id")
+        for c in ("s", "o"):
+            out = self._mapped(out, c, "term", "id")
+        return out.select(*[F.col(f"{c}_new").alias(c) for c in ("s", "p", "o")])
 
     def decode(self, ids: DataFrame) -> DataFrame:
         """s, p, o as terms; an unknown id is the empty string."""
-        out = ids
-        for c in ("s", "p", "o"):
-            out = out.join(self.df.select(F.col("id").alias(c), F.col("term").alias(f"{c}_term")), c, "left")
-        return out.select(*[F.coalesce(f"{c}_term", F.lit("")).alias(c) for c in ("s", "p", "o")])
+        out = self._mapped_few(ids.select("s", "p", "o"), "p", "id", "term")
+        for c in ("s", "o"):
+            out = self._mapped(out, c, "id", "term")
+        return out.select(*[F.coalesce(f"{c}_new", F.lit("")).alias(c) for c in ("s", "p", "o")])
 
     def contains(self, terms: DataFrame) -> DataFrame:
         return terms.join(self.df, "term", "left_semi")

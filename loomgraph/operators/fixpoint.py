@@ -3,13 +3,15 @@
 Predicates are evaluated by strata. A recursive stratum runs semi-naive rounds: every rule
 is planned once for each recursive body atom with that atom reading the last round's new
 rows; the union is made distinct, anti-joined with what is known, and written once to the
-shared checkpoint folder. Pure transitive closures are evaluated by path doubling, so the
-rounds grow with the logarithm of the longest path.
+shared folder. Transitive closures are evaluated by path doubling over their edges alone,
+so the rounds grow with the logarithm of the longest path; facts of the closure's own
+predicate that the store holds are joined to the result once.
 """
 
 from __future__ import annotations
 
 import time
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.terms import RDF_TYPE
-from loomgraph.operators.store import TripleStore
+from loomgraph.operators.store import ANY, COLUMNS, TripleStore
 from loomgraph.plans.compiler import plan
 from loomgraph.plans.ir import Atom, Program, Rule, Var
 from loomgraph.session import cut
 
 Key = tuple[str, int]
+Sizes = dict[Key, int]
+#: A relation's pieces are merged when there are more, else its partitions grow with the rounds.
+MOST_PIECES = 6
 
 
 @dataclass
@@ -35,14 +40,33 @@ class Round:
 
 @dataclass
 class Result:
-    """relations: the derived predicates, base facts included; store: base and derived as one set of triples."""
+    """relations: the derived predicates, base facts included; store: base and derived as one set of triples.
+
+    fresh, after an extension: the triples that weren't known before it, the new facts among them.
+    """
 
     base: TripleStore
     relations: dict[Key, DataFrame]
     rounds: list[Round] = field(default_factory=list)
+    fresh: DataFrame | None = None
+
+    def scan(self, key: Key) -> DataFrame:
+        """The relation as rules read it: rows of the base may repeat."""
+        if key in self.relations:
+            return self.relations[key]
+        every, classes = self.relations.get((ANY, 3)), self.relations.get((RDF_TYPE, 2))
+        if every is not None:
+            return TripleStore(every).relation(*key, distinct=False)
+        if key[1] == 1 and classes is not None:
+            return classes.filter(F.col("o") == key[0]).select("s")
+        unary = [k for k in self.relations if k[1] == 1]
+        if key == (RDF_TYPE, 2) and unary:
+            return _union([self.base.relation(*key, distinct=False), *[self.relations[k].select("s", F.lit(k[0]).alias("o")) for k in unary]])
+        return self.base.relation(*key, distinct=False)
 
     def relation(self, predicate: str, arity: int = 2) -> DataFrame:
-        return self.relations[(predicate, arity)] if (predicate, arity) in self.relations else self.base.relation(predicate, arity)
+        key = (predicate, arity)
+        return self.relations[key] if key in self.relations else self.scan(key).distinct()
 
     @property
     def derived(self) -> DataFrame:
@@ -55,6 +79,8 @@ class Result:
 
 
 def as_triples(key: Key, df: DataFrame) -> DataFrame:
+    if key[1] == 3:
+        return df.select(COLUMNS)
     p, o = (F.lit(RDF_TYPE), F.lit(key[0])) if key[1] == 1 else (F.lit(key[0]), F.col("o"))
     return df.select("s", p.alias("p"), o.alias("o"))
 
@@ -63,104 +89,151 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def _doubling(program: Program, group: list[Key]) -> list[Rule]:
-    """The stratum's rules, with t :- t, e or t :- e, t replaced by t :- t, t where e -> t is the only other source."""
+def _closure(program: Program, group: list[Key]) -> tuple[str, str] | None:
+    """(e, side) where the stratum is t :- e and t :- t, e (side "left"), or t :- e, t ("right"), and nothing else."""
     rules = [r for r in program.rules if r.head.key in group]
     if len(group) != 1 or group[0][1] != 2 or len(rules) != 2:
-        return rules
+        return None
     t, (x, y, z) = group[0][0], (Var("x0"), Var("x1"), Var("x2"))
     base = [r for r in rules if len(r.body) == 1]
     step = [r for r in rules if len(r.body) == 2]
     if len(base) != 1 or len(step) != 1:
-        return rules
+        return None
     e = base[0].body[0].predicate
-    chain = lambda a, b: Rule(Atom(t, (x, y)), (Atom(a, (x, z)), Atom(b, (z, y)))).canonical()
-    copies = base[0].canonical() == Rule(Atom(t, (x, y)), (Atom(e, (x, y)),)).canonical()
-    same = lambda r, a, b: sorted(map(repr, r.canonical().body)) == sorted(map(repr, chain(a, b).body))
-    if copies and e != t and (same(step[0], t, e) or same(step[0], e, t)):
-        return [base[0], Rule(Atom(t, (x, y)), (Atom(t, (x, z)), Atom(t, (z, y))))]
-    return rules
+    if e == t or base[0].canonical() != Rule(Atom(t, (x, y)), (Atom(e, (x, y)),)).canonical():
+        return None
+    for side, (a, b) in (("left", (t, e)), ("right", (e, t))):
+        chain = Rule(Atom(t, (x, y)), (Atom(a, (x, z)), Atom(b, (z, y)))).canonical()
+        if sorted(map(repr, step[0].canonical().body)) == sorted(map(repr, chain.body)):
+            return e, side
+    return None
 
 
-def reason(base: TripleStore, program: Program, max_rounds: int = 10_000, new_facts: TripleStore | None = None, known: Result | None = None) -> Result:
+def _close(out: Result, t: str, e: str, side: str, max_rounds: int) -> DataFrame:
+    """t from the closure of e alone and, once, the store's own facts of t at the end that the rule leaves them."""
+    began = time.time()
+    x, y, z = Var("x"), Var("y"), Var("z")
+    key = (t, 2)
+    paths = cut(out.scan((e, 2)).distinct())
+    full = {key: [paths]}
+    _rounds([Rule(Atom(t, (x, y)), (Atom(t, (x, z)), Atom(t, (z, y))))], [key], full, {key: paths}, out.scan, max_rounds, out.rounds, began)
+    closed = _union(full[key])
+    own = cut(out.base.relation(t))
+    if own.isEmpty():
+        return closed
+    first, last = (own, closed) if side == "left" else (closed, own)
+    joined = first.select("s", F.col("o").alias("m")).join(last.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+    return cut(_union([closed, own, joined]).distinct())
+
+
+def reason(base: TripleStore, program: Program, max_rounds: int = 10_000, new_facts: TripleStore | None = None, known: Result | None = None, statistics: bool = False) -> Result:
     """All consequences of the program.
 
     new_facts with known continues from an earlier result: only consequences that use a new
-    fact are derived, and the result equals a full run over base and new facts.
+    fact are derived, and the result equals a full run over base and new facts. With
+    statistics the facts of the program's predicates are counted first, in one pass, and
+    atoms with fewer facts are joined earlier.
     """
     if known is not None and new_facts is not None:
         return _extend(base, program, max_rounds, new_facts, known)
     out = Result(base, {})
     relations = out.relations
+    sizes = _sizes(base, program) if statistics else {}
+    reads = Counter(a.key for r in program.rules for a in r.body)
 
     def find(_: int, atom: Atom) -> DataFrame:
-        return out.relation(*atom.key)
+        return out.scan(atom.key)
 
     for group in program.strata():
         if not program.recursive(group):
             for key in group:
-                heads = [plan(r, find) for r in program.rules if r.head.key == key]
-                relations[key] = _union([base.relation(*key), *heads]).distinct()
+                heads = [plan(r, find, sizes=sizes) for r in program.rules if r.head.key == key]
+                whole = _union([base.relation(*key, distinct=False), *heads]).distinct()
+                relations[key] = cut(whole) if reads[key] > 1 else whole
             continue
-        rules = _doubling(program, group)
+        if shape := _closure(program, group):
+            relations[group[0]] = _close(out, group[0][0], *shape, max_rounds)
+            continue
+        rules = [r for r in program.rules if r.head.key in group]
         fixed = [r for r in rules if not any(a.key in group for a in r.body)]
         began = time.time()
-        full: dict[Key, DataFrame] = {}
+        full: dict[Key, list[DataFrame]] = {}
         for key in group:
-            heads = [plan(r, find) for r in fixed if r.head.key == key]
-            full[key] = cut(_union([base.relation(*key), *heads]).distinct())
-        _rounds(rules, group, full, dict(full), find, max_rounds, out.rounds, began)
-        relations |= full
+            heads = [plan(r, find, sizes=sizes) for r in fixed if r.head.key == key]
+            full[key] = [cut(_union([base.relation(*key, distinct=False), *heads]).distinct())]
+        _rounds(rules, group, full, {k: p[0] for k, p in full.items()}, out.scan, max_rounds, out.rounds, began, sizes)
+        relations |= {k: _union(p) for k, p in full.items()}
     return out
 
 
-def _rounds(rules: list[Rule], group: list[Key], full: dict[Key, DataFrame], delta: dict[Key, DataFrame], find, max_rounds: int, log: list[Round], began: float) -> None:
-    """Runs semi-naive rounds until nothing is new; full is updated in place."""
+def _sizes(base: TripleStore, program: Program) -> Sizes:
+    """Facts of each binary predicate that the program names: one row for each."""
+    named = sorted({a.predicate for r in program.rules for a in r.body if len(a.args) == 2})
+    found = {r.p: r.n for r in base.predicate_counts(named).collect()}
+    heads = program.heads()
+    return {(p, 2): found.get(p, 0) for p in named if (p, 2) not in heads}
+
+
+def _rounds(rules: list[Rule], group: list[Key], full: dict[Key, list[DataFrame]], delta: dict[Key, DataFrame], find, max_rounds: int, log: list[Round], began: float, sizes: Sizes | None = None) -> None:
+    """Runs semi-naive rounds until nothing is new. full holds each relation's pieces; new ones are appended, and the first, which may be large, is never copied."""
     loops = [(r, i) for r in rules for i, a in enumerate(r.body) if a.key in group]
     # relations from outside the stratum are read in every round
-    outside = {a.key: cut(find(0, a)) for r, _ in loops for a in r.body if a.key not in group}
-    parts = {key: [full[key]] for key in group}
+    outside = {k: cut(find(k)) for k in {a.key for r, _ in loops for a in r.body if a.key not in group}}
     names = tuple(k[0] for k in group)
-    log.append(Round(names, 0, sum(d.count() for d in delta.values()), time.time() - began))
+    counts = {k: d.count() for k, d in delta.items()}
+    totals = {k: counts[k] if len(p) == 1 else None for k, p in full.items()}
+    log.append(Round(names, 0, sum(counts.values()), time.time() - began))
     for number in range(1, max_rounds + 1):
         began = time.time()
+        whole = {k: _union(p) for k, p in full.items()}
         fresh: dict[Key, DataFrame] = {}
         for key in group:
             plans = []
             for r, at in loops:
                 if r.head.key == key and r.body[at].key in delta:
                     def look(i: int, a: Atom, at: int = at) -> DataFrame:
-                        return delta[a.key] if i == at else full[a.key] if a.key in full else outside[a.key]
+                        return delta[a.key] if i == at else whole[a.key] if a.key in whole else outside[a.key]
 
-                    plans.append(plan(r, look, first=at))
+                    plans.append(plan(r, look, first=at, sizes=sizes))
             if plans:
-                new = _union(plans).distinct()
-                fresh[key] = cut(new.join(full[key], new.columns, "left_anti"))
+                fresh[key] = unknown(cut(_union(plans).distinct()), whole[key], totals[key])
         counts = {k: df.count() for k, df in fresh.items()}
         log.append(Round(names, number, sum(counts.values()), time.time() - began))
         delta = {k: df for k, df in fresh.items() if counts[k]}
         for k, df in delta.items():
-            parts[k].append(df)
-            if len(parts[k]) > 6:  # else the union's partitions grow with the rounds
-                parts[k] = [cut(_union(parts[k]).repartition(*full[k].columns))]
-            full[k] = _union(parts[k])
+            full[k].append(df)
+            totals[k] = None if totals[k] is None else totals[k] + counts[k]
+            if len(full[k]) > MOST_PIECES:
+                full[k][1:] = [cut(_union(full[k][1:]))]
         if not delta:
             return
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
+def unknown(new: DataFrame, known: DataFrame, size: int | None = None) -> DataFrame:
+    """Materialised: the rows of new, which is materialised, that aren't among the known, of which there are size (None: many).
+
+    Where new is far smaller, it is what joins are built from, and the known are read but not shuffled.
+    """
+    if size is None or size > 8 * new.count():
+        known = known.join(new, new.columns, "left_semi")
+    return cut(new.join(known, new.columns, "left_anti"))
+
+
 def _extend(base: TripleStore, program: Program, max_rounds: int, new_facts: TripleStore, known: Result) -> Result:
     """Seeds every rule with the new facts at each body atom, then runs one joint semi-naive loop."""
     both = base.add(new_facts)
     keys = sorted({a.key for r in program.rules for a in (r.head, *r.body)})
     out = Result(both, {})
-    full: dict[Key, DataFrame] = {}
+    full: dict[Key, list[DataFrame]] = {}
     delta: dict[Key, DataFrame] = {}
     began = time.time()
     for key in keys:
         old = known.relation(*key)
-        delta[key] = cut(new_facts.relation(*key).join(old, old.columns, "left_anti"))
-        full[key] = cut(old.unionByName(delta[key]))
+        delta[key] = unknown(cut(new_facts.relation(*key)), old)
+        full[key] = [old, delta[key]]
     _rounds(program.rules, keys, full, delta, None, max_rounds, out.rounds, began)
-    out.relations.update({k: full[k] for k in program.heads()})
+    out.relations.update({k: _union(full[k]) for k in program.heads()})
+    facts = unknown(cut(new_facts.df.distinct()), known.store.df if known.relations else known.base.df)
+    out.fresh = _union([facts, *[as_triples(k, _union(full[k][1:])) for k in keys]]).distinct()
     return out

@@ -15,14 +15,16 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.ir import Atom, Const, Rule
 
-#: (position in the body, atom) to its relation with columns s or s, o.
+#: The columns of relations with one, two and three arguments.
+COLUMNS = {1: ("s",), 2: ("s", "o"), 3: ("s", "p", "o")}
+#: (position in the body, atom) to its relation, whose rows may repeat.
 Lookup = Callable[[int, Atom], DataFrame]
 
 
 def scan(atom: Atom, relation: DataFrame) -> DataFrame:
     """Constants become filters, a repeated variable the diagonal, and variables the columns."""
     first: dict[str, str] = {}
-    for column, term in zip(("s", "o"), atom.args, strict=False):
+    for column, term in zip(COLUMNS[len(atom.args)], atom.args, strict=True):
         if isinstance(term, Const):
             relation = relation.filter(F.col(column) == term.value)
         elif term.name in first:
@@ -31,8 +33,7 @@ def scan(atom: Atom, relation: DataFrame) -> DataFrame:
             first[term.name] = column
     if not first:
         return relation.select(F.lit(True).alias("__exists")).limit(1)
-    out = relation.select(*[F.col(c).alias(f"v_{v}") for v, c in first.items()])
-    return out if len(first) == len(atom.args) else out.distinct()
+    return relation.select(*[F.col(c).alias(f"v_{v}") for v, c in first.items()])
 
 
 def order(rule: Rule, first: int | None, sizes: dict[tuple[str, int], int] | None = None) -> list[int]:
@@ -56,7 +57,7 @@ def order(rule: Rule, first: int | None, sizes: dict[tuple[str, int], int] | Non
 
 
 def plan(rule: Rule, lookup: Lookup, first: int | None = None, sizes: dict[tuple[str, int], int] | None = None) -> DataFrame:
-    """Rows of the rule's head, as s or s, o; not yet distinct."""
+    """Rows of the rule's head, in the relation's columns; not yet distinct."""
     steps = order(rule, first, sizes)
     head = set(rule.head.variables())
     current: DataFrame | None = None
@@ -84,4 +85,4 @@ def plan(rule: Rule, lookup: Lookup, first: int | None = None, sizes: dict[tuple
         if len(kept) < len(current.columns) and n < len(steps) - 1 and kept:
             current = current.select(*kept).distinct()
     value = [F.lit(t.value) if isinstance(t, Const) else F.col(f"v_{t.name}") for t in rule.head.args]
-    return current.select(*[v.alias(c) for v, c in zip(value, ("s", "o"), strict=False)])
+    return current.select(*[v.alias(c) for v, c in zip(value, COLUMNS[len(value)], strict=True)])

@@ -1,8 +1,9 @@
-"""Where lineage is cut."""
+"""Where lineage is cut, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,31 +11,39 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir as the cluster sets it.
 
-    Where it is unset (tests on one machine), a temporary folder is set once.
+    Where it is unset, a temporary folder is set once if everything runs on one machine;
+    on a cluster there is no such folder, and RuntimeError says so.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = sc._jsc.sc().getCheckpointDir()
-        at = at.get() if at.isDefined() else tempfile.mkdtemp(prefix="loomgraph-")
+        at = at.get() if at.isDefined() else None
+        if not at:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            at = tempfile.mkdtemp(prefix="loomgraph-")
         spark.conf.set("spark.checkpoint.dir", at)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(at)
     return at
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's URI in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df once, reliably, so that later plans start from its files and lost executors cost nothing.
+    """df written once as Parquet to the shared folder and read back.
 
-    The frame is planned without inferred constraints: those kept with a checkpoint can
-    name columns that it doesn't return, and a union of checkpoints then can't be planned.
+    Later plans start from files: lost executors cost nothing, unused columns aren't read,
+    and Catalyst knows the sizes.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key, "true")
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, uri: str) -> None:
+    """Delete a scratch folder, once nothing that is still to run reads it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

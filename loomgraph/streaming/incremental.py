@@ -5,43 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from loomgraph.operators.fixpoint import reason
+from loomgraph.operators.fixpoint import Result, reason
 from loomgraph.operators.store import TripleStore
 from loomgraph.plans.ir import Program
 
+SCHEMA = "s string, p string, o string"
+
 
 def maintain(stream: DataFrame, program: Program, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch extends the materialised set of triples at path; available now, exactly once.
+    """Each micro-batch appends its new triples and what follows from them to those at path; available now, exactly once.
 
-    Versions are folders path/v=N, N the batch after it was applied; a batch that is run
-    again overwrites its own version. latest() reads the newest.
+    Folder path/v=N holds what batch N added. What the folders before it hold is closed
+    under the program, so only consequences of the new triples are derived, and nothing is
+    written twice. A batch that is run again overwrites its own folder. latest() reads all.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        base = _read(spark, path, number)
-        known = reason(base, program)
-        out = reason(base, program, new_facts=TripleStore(batch), known=known)
-        out.store.df.write.mode("overwrite").parquet(f"{path}/v={number + 1:09d}")
+        known = _read(spark, path, number)
+        out = reason(known, program, new_facts=TripleStore(batch), known=Result(known, {}))
+        out.fresh.write.mode("overwrite").parquet(f"{path}/v={number:09d}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
+def _folders(spark: SparkSession, path: str, below: int | None) -> list[str]:
+    """Folders of finished batches before the given one."""
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    top = make(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
         return []
-    done = [s.getPath() for s in fs.listStatus(hadoop) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(p.getName().partition("=")[2]) for p in done)
+    found = [s.getPath() for s in fs.listStatus(top) if s.getPath().getName().startswith("v=")]
+    done = [p for p in found if fs.exists(make(p, "_SUCCESS")) and (below is None or int(p.getName()[2:]) < below)]
+    return sorted(p.toString() for p in done)
 
 
-def _read(spark: SparkSession, path: str, below: int) -> TripleStore:
-    old = [v for v in _versions(spark, path) if v <= below]
-    if not old:
-        return TripleStore(spark.createDataFrame([], "s string, p string, o string"))
-    return TripleStore(spark.read.parquet(f"{path}/v={old[-1]:09d}"))
+def _read(spark: SparkSession, path: str, below: int | None) -> TripleStore:
+    folders = _folders(spark, path, below)
+    return TripleStore(spark.read.schema(SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], SCHEMA))
 
 
 def latest(spark: SparkSession, path: str) -> TripleStore:
-    return _read(spark, path, 1 << 60)
+    """All triples that finished batches have added, each once."""
+    return _read(spark, path, None)
