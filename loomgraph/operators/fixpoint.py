@@ -3,9 +3,9 @@
 Predicates are evaluated by strata. A recursive stratum runs semi-naive rounds: every rule
 is planned once for each recursive body atom with that atom reading the last round's new
 rows; the union is made distinct, anti-joined with what is known, and written once to the
-shared folder. Transitive closures are evaluated by path doubling over their edges alone,
-so the rounds grow with the logarithm of the longest path; facts of the closure's own
-predicate that the store holds are joined to the result once.
+shared folder. Transitive closures of chain-like edges are evaluated by path doubling, so the
+rounds grow with the logarithm of the longest path; facts of the closure's own predicate
+that the store holds are joined to the result once.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ Key = tuple[str, int]
 Sizes = dict[Key, int]
 #: A relation's pieces are merged when there are more, else its partitions grow with the rounds.
 MOST_PIECES = 6
+#: A closure that grows by more in a round isn't evaluated by doubling.
+MOST_GROWTH = 2.5
 
 
 @dataclass
@@ -109,20 +111,46 @@ def _closure(program: Program, group: list[Key]) -> tuple[str, str] | None:
     return None
 
 
+def _steps(first: DataFrame, then: DataFrame) -> DataFrame:
+    """(s, o) of a pair of first and the pair of then that it leads to."""
+    return first.select("s", F.col("o").alias("m")).join(then.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+
+
 def _close(out: Result, t: str, e: str, side: str, max_rounds: int) -> DataFrame:
-    """t from the closure of e alone and, once, the store's own facts of t at the end that the rule leaves them."""
-    began = time.time()
+    """t from the closure of e alone and, once, the store's own facts of t at the end that the rule leaves them.
+
+    Round k joins the pairs that a walk of exactly 2^k edges links with all found, which
+    doubles the longest walk. Where a round multiplies the pairs by more than
+    MOST_GROWTH, as it can't along chains, walks branch: there are few rounds to
+    save, and the rest goes on edge by edge.
+    """
+    began, key, names = time.time(), (t, 2), (t,)
     x, y, z = Var("x"), Var("y"), Var("z")
-    key = (t, 2)
-    paths = cut(out.scan((e, 2)).distinct())
-    full = {key: [paths]}
-    _rounds([Rule(Atom(t, (x, y)), (Atom(t, (x, z)), Atom(t, (z, y))))], [key], full, {key: paths}, out.scan, max_rounds, out.rounds, began)
-    closed = _union(full[key])
+    exact = cut(out.scan((e, 2)).distinct())
+    pieces, size, number = [exact], exact.count(), 0
+    out.rounds.append(Round(names, 0, size, time.time() - began))
+    while size:
+        began, number = time.time(), number + 1
+        if number > max_rounds:
+            raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+        whole = _union(pieces)
+        new = unknown(_steps(exact, whole).distinct(), whole, size, size)
+        n = new.count()
+        out.rounds.append(Round(names, number, n, time.time() - began))
+        if not n:
+            break
+        pieces, size = [*pieces, new], size + n
+        if size > MOST_GROWTH * (size - n):
+            full = {key: pieces}
+            _rounds([Rule(Atom(t, (x, y)), (Atom(t, (x, z)), Atom(e, (z, y))))], [key], full, {key: new}, out.scan, max_rounds - number, out.rounds, began, start=number)
+            pieces = full[key]
+            break
+        exact = cut(_steps(exact, exact).distinct())
+    closed = _union(pieces)
     own = cut(out.base.relation(t))
     if own.isEmpty():
         return closed
-    first, last = (own, closed) if side == "left" else (closed, own)
-    joined = first.select("s", F.col("o").alias("m")).join(last.select(F.col("s").alias("m"), "o"), "m").select("s", "o")
+    joined = _steps(own, closed) if side == "left" else _steps(closed, own)
     return cut(_union([closed, own, joined]).distinct())
 
 
@@ -174,15 +202,21 @@ def _sizes(base: TripleStore, program: Program) -> Sizes:
     return {(p, 2): found.get(p, 0) for p in named if (p, 2) not in heads}
 
 
-def _rounds(rules: list[Rule], group: list[Key], full: dict[Key, list[DataFrame]], delta: dict[Key, DataFrame], find, max_rounds: int, log: list[Round], began: float, sizes: Sizes | None = None) -> None:
-    """Runs semi-naive rounds until nothing is new. full holds each relation's pieces; new ones are appended, and the first, which may be large, is never copied."""
+def _rounds(rules: list[Rule], group: list[Key], full: dict[Key, list[DataFrame]], delta: dict[Key, DataFrame], find, max_rounds: int, log: list[Round], began: float, sizes: Sizes | None = None, start: int = 0, grown: bool = True) -> None:
+    """Runs semi-naive rounds until nothing is new.
+
+    full holds each relation's pieces; new ones are appended, and the first, which may be
+    large, is never copied. grown: the pieces are rows of this run, and are counted; else
+    the first is taken to be large. start: rounds that were run before.
+    """
     loops = [(r, i) for r in rules for i, a in enumerate(r.body) if a.key in group]
     # relations from outside the stratum are read in every round
     outside = {k: cut(find(k)) for k in {a.key for r, _ in loops for a in r.body if a.key not in group}}
     names = tuple(k[0] for k in group)
     counts = {k: d.count() for k, d in delta.items()}
-    totals = {k: counts[k] if len(p) == 1 else None for k, p in full.items()}
-    log.append(Round(names, 0, sum(counts.values()), time.time() - began))
+    totals = {k: sum(d.count() for d in p) if grown else None for k, p in full.items()}
+    if not start:
+        log.append(Round(names, 0, sum(counts.values()), time.time() - began))
     for number in range(1, max_rounds + 1):
         began = time.time()
         whole = {k: _union(p) for k, p in full.items()}
@@ -196,9 +230,9 @@ def _rounds(rules: list[Rule], group: list[Key], full: dict[Key, list[DataFrame]
 
                     plans.append(plan(r, look, first=at, sizes=sizes))
             if plans:
-                fresh[key] = unknown(cut(_union(plans).distinct()), whole[key], totals[key])
+                fresh[key] = unknown(_union(plans).distinct(), whole[key], totals[key], sum(counts.values()))
         counts = {k: df.count() for k, df in fresh.items()}
-        log.append(Round(names, number, sum(counts.values()), time.time() - began))
+        log.append(Round(names, start + number, sum(counts.values()), time.time() - began))
         delta = {k: df for k, df in fresh.items() if counts[k]}
         for k, df in delta.items():
             full[k].append(df)
@@ -210,12 +244,14 @@ def _rounds(rules: list[Rule], group: list[Key], full: dict[Key, list[DataFrame]
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
-def unknown(new: DataFrame, known: DataFrame, size: int | None = None) -> DataFrame:
-    """Materialised: the rows of new, which is materialised, that aren't among the known, of which there are size (None: many).
+def unknown(new: DataFrame, known: DataFrame, size: int | None, expected: int = 0) -> DataFrame:
+    """Materialised: the rows of new that aren't among the known, of which there are size (None: many); expected: about how many new ones.
 
-    Where new is far smaller, it is what joins are built from, and the known are read but not shuffled.
+    Where new is far smaller, it is written first and joins are built from it: the known are
+    read, but not shuffled.
     """
-    if size is None or size > 8 * new.count():
+    if size is None or size > 8 * expected:
+        new = cut(new)
         known = known.join(new, new.columns, "left_semi")
     return cut(new.join(known, new.columns, "left_anti"))
 
@@ -230,10 +266,10 @@ def _extend(base: TripleStore, program: Program, max_rounds: int, new_facts: Tri
     began = time.time()
     for key in keys:
         old = known.relation(*key)
-        delta[key] = unknown(cut(new_facts.relation(*key)), old)
+        delta[key] = unknown(new_facts.relation(*key), old, None)
         full[key] = [old, delta[key]]
-    _rounds(program.rules, keys, full, delta, None, max_rounds, out.rounds, began)
+    _rounds(program.rules, keys, full, delta, None, max_rounds, out.rounds, began, grown=False)
     out.relations.update({k: _union(full[k]) for k in program.heads()})
-    facts = unknown(cut(new_facts.df.distinct()), known.store.df if known.relations else known.base.df)
+    facts = unknown(new_facts.df.distinct(), known.store.df if known.relations else known.base.df, None)
     out.fresh = _union([facts, *[as_triples(k, _union(full[k][1:])) for k in keys]]).distinct()
     return out

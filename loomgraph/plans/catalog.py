@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import sqlite3
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,9 @@ from loomgraph.operators import dictionary
 from loomgraph.operators.dictionary import TermDictionary
 from loomgraph.operators.fixpoint import reason
 from loomgraph.operators.store import TripleStore
-from loomgraph.plans.parser import parse_program
+from loomgraph.plans.ir import Atom, Program, Rule, Var
+from loomgraph.plans.parser import parse_program, read_program
+from loomgraph.session import scratch
 from loomgraph.sources import tables, text, triplify
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,5 +272,236 @@ def store_add_remove(spark, sf_dir):
     return g.remove(g.by_predicate("inNation")).df.select("s", "o").distinct()
 
 
+OWN_SQL = f"""WITH RECURSIVE {NEXT}, own AS (
+  SELECT 'start/' || conv_id AS s, 'conv/' || conv_id || '/1' AS o FROM conversations WHERE turn = 1
+  UNION SELECT 'conv/' || conv_id || '/2', 'mark/' || conv_id FROM conversations WHERE turn = 2),
+base AS (SELECT s, o FROM nxt UNION SELECT s, o FROM own),
+r AS (SELECT s, o FROM base UNION SELECT %s) SELECT s, o FROM r"""
+LEFT_SQL, RIGHT_SQL = OWN_SQL % "r.s, nxt.o FROM r JOIN nxt ON r.o = nxt.s", OWN_SQL % "nxt.s, r.o FROM nxt JOIN r ON nxt.o = r.s"
+REACH_LEFT = "reach(?x, ?y) :- next(?x, ?y).\nreach(?x, ?z) :- reach(?x, ?y), next(?y, ?z)."
+REACH_RIGHT = "reach(?x, ?y) :- next(?x, ?y).\nreach(?x, ?z) :- next(?x, ?y), reach(?y, ?z)."
+
+
+def _own_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of the closure's own predicate, before the first turn and after the second."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    id_ = F.col("conv_id").cast("string")
+    start = c.filter("turn = 1").select(F.concat(F.lit("start/"), id_).alias("s"), F.lit("reach").alias("p"), F.concat(F.lit("conv/"), id_, F.lit("/1")).alias("o"))
+    mark = c.filter("turn = 2").select(F.concat(F.lit("conv/"), id_, F.lit("/2")).alias("s"), F.lit("reach").alias("p"), F.concat(F.lit("mark/"), id_).alias("o"))
+    return start.union(mark)
+
+
+@query(LEFT_SQL)
+def closure_with_head_facts(spark, sf_dir):
+    return derived(triplify.turns(spark, sf_dir).union(_own_facts(spark, sf_dir)), REACH_LEFT, "reach")
+
+
+@query(RIGHT_SQL)
+def closure_with_head_facts_right(spark, sf_dir):
+    return derived(triplify.turns(spark, sf_dir).union(_own_facts(spark, sf_dir)), REACH_RIGHT, "reach")
+
+
+@query(LEFT_SQL)
+def closure_with_new_head_facts(spark, sf_dir):
+    base, program = TripleStore(triplify.turns(spark, sf_dir)), parse_program(REACH_LEFT)
+    return reason(base, program, new_facts=TripleStore(_own_facts(spark, sf_dir)), known=reason(base, program)).relation("reach")
+
+
+RDF = "PREFIX rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#>\n"
+FIFTH = "in5(?x) :- inNation(?x, nation/5).\nrdf:type(?x, placed) :- inNation(?x, ?n).\n"
+
+
+@query(f"""WITH {GEO}, h AS (SELECT DISTINCT s, 'five' AS o FROM geo WHERE p = 'inNation' AND o = 'nation/5'
+UNION SELECT s, 'placed' FROM geo WHERE p = 'inNation') SELECT s, o FROM h""")
+def rule_type_unary(spark, sf_dir):
+    """A class derived by one notation and read by the other, both ways."""
+    rules = RDF + FIFTH + "h(?x, five) :- rdf:type(?x, in5).\nh(?x, placed) :- placed(?x)."
+    return derived(triplify.geo(spark, sf_dir), rules, "h")
+
+
+@query(f"""WITH {GEO} SELECT DISTINCT s, 'in5' AS o FROM geo WHERE p = 'inNation' AND o = 'nation/5'
+UNION SELECT s, 'placed' FROM geo WHERE p = 'inNation'""")
+def rule_class_variable(spark, sf_dir):
+    return derived(triplify.geo(spark, sf_dir), RDF + FIFTH + "is(?x, ?c) :- rdf:type(?x, ?c).", "is")
+
+
+@query(f"WITH {GEO} SELECT DISTINCT p AS s, o FROM geo WHERE s = 'nation/5'")
+def rule_predicate_variable(spark, sf_dir):
+    return derived(triplify.geo(spark, sf_dir), "about5(?p, ?y) :- ?p(nation/5, ?y).", "about5")
+
+
+@query(f"WITH {GEO} SELECT DISTINCT s, o FROM geo WHERE p IN ('inNation', 'inRegion')")
+def rule_subproperties(spark, sf_dir):
+    """A predicate variable in a head: what holds of a predicate holds of those above it."""
+    above = spark.createDataFrame([("inNation", "sub", "within"), ("inRegion", "sub", "within"), ("within", "sub", "at")], "s string, p string, o string")
+    return derived(triplify.geo(spark, sf_dir).union(above), "?q(?x, ?y) :- sub(?p, ?q), ?p(?x, ?y).", "at")
+
+
+@query(f"WITH {GEO} SELECT DISTINCT o AS s, s AS o FROM geo WHERE p = 'inNation'")
+def rule_from_code(spark, sf_dir):
+    rule = Rule(Atom("has", (Var("n"), Var("c"))), (Atom("inNation", (Var("c"), Var("n"))),))
+    return reason(TripleStore(triplify.geo(spark, sf_dir)), Program([rule])).relation("has")
+
+
+@query(ORACLES["rule_path3"])
+def rule_path3_statistics(spark, sf_dir):
+    graph = triplify.geo(spark, sf_dir).union(triplify.trade(spark, sf_dir))
+    program = parse_program("to(?x, ?r) :- placedBy(?x, ?c), inNation(?c, ?n), inRegion(?n, ?r).")
+    return reason(TripleStore(graph), program, statistics=True).relation("to")
+
+
+@query(LOCATED_SQL)
+def rule_file(spark, sf_dir):
+    path = os.path.join(_local(scratch(spark, "rules")), "located.dl")
+    os.makedirs(os.path.dirname(path))
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(f"# where things are\n{LOCATED}\n")
+    return reason(TripleStore(triplify.geo(spark, sf_dir)), read_program(path)).relation("loc")
+
+
+def _local(uri: str) -> str:
+    """The shared folder as a path of this machine, for what isn't read by Spark."""
+    return uri.removeprefix("file://").removeprefix("file:")
+
+
+@query(f"""WITH RECURSIVE {NEXT}, r AS (SELECT s, o, 0 AS number FROM nxt UNION SELECT r.s, nxt.o, r.number + 1 FROM r JOIN nxt ON r.o = nxt.s),
+n AS (SELECT number, count(*) AS new_rows FROM r GROUP BY number)
+SELECT number::INT AS number, new_rows::BIGINT AS new_rows FROM n UNION ALL SELECT (max(number) + 1)::INT, 0 FROM n""")
+def reason_statistics(spark, sf_dir):
+    """What each round of two mutually recursive predicates found, the last nothing."""
+    rules = "odd(?x, ?y) :- next(?x, ?y).\neven(?x, ?z) :- odd(?x, ?y), next(?y, ?z).\nodd(?x, ?z) :- even(?x, ?y), next(?y, ?z)."
+    rounds = reason(TripleStore(triplify.turns(spark, sf_dir)), parse_program(rules), max_rounds=50).rounds
+    return spark.createDataFrame([(r.number, r.new_rows) for r in rounds], "number int, new_rows long")
+
+
+@query(f"WITH {GEO} SELECT s, p, o FROM geo UNION ALL SELECT s, '', o FROM geo WHERE p = 'inRegion' UNION ALL SELECT s, repeat('long', 100), o FROM geo WHERE p = 'inRegion'")
+def store_write_read(spark, sf_dir):
+    """Predicates that are empty, or longer than a folder's name can be, are kept."""
+    g, path = triplify.geo(spark, sf_dir), scratch(spark, "store")
+    regions = g.filter("p = 'inRegion'")
+    TripleStore(g.union(regions.withColumn("p", F.lit(""))).union(regions.withColumn("p", F.lit("long" * 100)))).write(path)
+    return TripleStore.read(spark, path).df
+
+
+@query(f"WITH {GEO} SELECT s, p, o FROM geo WHERE p = 'inRegion'")
+def store_read_predicate(spark, sf_dir):
+    path = scratch(spark, "store")
+    TripleStore(triplify.geo(spark, sf_dir)).write(path)
+    return TripleStore.read(spark, path).by_predicate("inRegion")
+
+
+@query(f"""WITH {GEO}, n AS (SELECT (row_number() OVER (ORDER BY s, p, o) - 1)::BIGINT AS row_id, s, p, o FROM geo)
+SELECT row_id, s, p, o FROM n WHERE row_id % 7 = 3""")
+def fetch_by_position(spark, sf_dir):
+    store = TripleStore(triplify.geo(spark, sf_dir))
+    return store.fetch(spark.range(0, 1 << 20).filter("id % 7 = 3"))
+
+
+@query(f"""WITH {GEO}, terms AS (SELECT s AS t FROM geo UNION SELECT p FROM geo UNION SELECT o FROM geo),
+ids AS (SELECT t AS term, (row_number() OVER (ORDER BY t) - 1)::BIGINT AS id FROM terms),
+probe AS (SELECT 'nation/' || c_custkey AS term FROM customer) SELECT probe.term, id FROM probe LEFT JOIN ids USING (term)""")
+def dictionary_lookup(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return TermDictionary.build(triplify.geo(spark, sf_dir)).lookup(c.select(triplify.node("nation", "c_custkey").alias("term")))
+
+
+@query(f"""WITH {GEO}, terms AS (SELECT s AS term FROM geo UNION SELECT p FROM geo UNION SELECT o FROM geo)
+SELECT 'nation/' || c_custkey AS term FROM customer WHERE 'nation/' || c_custkey IN (SELECT term FROM terms)""")
+def dictionary_contains(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return TermDictionary.build(triplify.geo(spark, sf_dir)).contains(c.select(triplify.node("nation", "c_custkey").alias("term")))
+
+
+@query(f"""WITH {GEO}, terms AS (SELECT s AS term FROM geo UNION SELECT p FROM geo UNION SELECT o FROM geo)
+SELECT count(*)::BIGINT AS n FROM terms""")
+def dictionary_size(spark, sf_dir):
+    return spark.createDataFrame([(TermDictionary.build(triplify.geo(spark, sf_dir)).size(),)], "n long")
+
+
+@query(ORACLES["ntriples_parse"])
+def ntriples_file(spark, sf_dir):
+    path = scratch(spark, "ntriples")
+    text.write_ntriples(ntriples_parse(spark, sf_dir), path)
+    return text.read_ntriples(spark, path)
+
+
+@query(f"""WITH {GEO}, r AS (SELECT s, o FROM geo WHERE p = 'inRegion')
+SELECT 'http://a/' || s AS s, 'http://a/in' AS p, 'http://a/' || o AS o FROM r
+UNION ALL SELECT 'http://b/' || s, 'http://b/in', 'http://b/' || o FROM r""")
+def turtle_two_files(spark, sf_dir):
+    """Two files that declare the same name differently."""
+    path = scratch(spark, "turtle")
+    lines = triplify.geo(spark, sf_dir).filter("p = 'inRegion'").select(F.concat(F.lit("ex:"), "s", F.lit(" ex:in ex:"), "o", F.lit(" .")).alias("value"))
+    for name in "ab":
+        first = spark.createDataFrame([(f"@prefix ex: <http://{name}/> .",)], "value string")
+        first.union(lines).coalesce(1).write.text(f"{path}/{name}")
+    return text.read_turtle(spark, f"{path}/*")
+
+
+@query(f"WITH {GEO} SELECT s, p, o FROM geo")
+def csv_file(spark, sf_dir):
+    path = scratch(spark, "csv")
+    triplify.geo(spark, sf_dir).select(F.concat_ws(",", "s", "p", "o", F.lit("more")).alias("value")).write.text(path)
+    return text.read_csv(spark, path)
+
+
+ROWS_SQL = """SELECT 'customer/' || c_custkey AS s, %s AS p, %s AS o FROM customer%s"""
+EMPTY_SQL = ROWS_SQL % ("coalesce(CASE WHEN c_custkey % 7 <> 0 THEN 'segment' END, '')", "coalesce(CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END, '')", "")
+DROP_SQL = ROWS_SQL % ("'segment'", "c_mktsegment", " WHERE c_custkey % 7 <> 0 AND c_custkey % 5 <> 0")
+
+
+def _database(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, dict[str, str]]:
+    """A database in memory, with a table of triples some of whose fields are null."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    rows = c.select(F.col("c_custkey").alias("id"), triplify.node("customer", "c_custkey").alias("subject"), F.when(F.col("c_custkey") % 7 != 0, "segment").alias("predicate"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("object"))
+    url, properties = f"jdbc:derby:memory:{name};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    rows.coalesce(1).write.jdbc(url, "facts", "overwrite", properties)
+    return url, properties
+
+
+@query(EMPTY_SQL)
+def jdbc_table(spark, sf_dir):
+    url, properties = _database(spark, sf_dir, "whole")
+    return tables.read_jdbc(spark, url, "facts", properties=properties)
+
+
+@query(EMPTY_SQL)
+def jdbc_by_ranges(spark, sf_dir):
+    url, properties = _database(spark, sf_dir, "ranges")
+    return tables.read_jdbc(spark, url, "facts", partition_column="id", bounds=(1, 1000), partitions=4, properties=properties)
+
+
+@query(DROP_SQL)
+def jdbc_by_predicates(spark, sf_dir):
+    url, properties = _database(spark, sf_dir, "predicates")
+    return tables.read_jdbc(spark, url, "facts", nulls="drop", predicates=['"id" < 100', '"id" >= 100 AND "id" < 700', '"id" >= 700'], properties=properties)
+
+
+@query("""SELECT 'nation/' || n_nationkey AS s, 'inRegion' AS p, 'region/' || n_regionkey AS o FROM nation WHERE n_nationkey % 4 <> 0""")
+def sqlite_table(spark, sf_dir):
+    """The 25 nations, those of every fourth key without an object."""
+    path = f"{_local(scratch(spark, 'sqlite'))}.db"
+    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_regionkey").collect()
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE facts(subject, predicate, object)")
+        db.executemany("INSERT INTO facts VALUES (?, 'inRegion', ?)", [(f"nation/{n}", f"region/{r}" if n % 4 else None) for n, r in rows])
+    return tables.read_sqlite(spark, path, "facts", rows=10)
+
+
+PEOPLE = """knows AS (SELECT 'person/' || (i % 1000) AS s, 'person/' || ((i * 7919 + (i * i) % 10007 * 31 + 13) % 1000) AS o FROM range(2000) AS t(i)),
+parents AS (SELECT 'person/' || (i - 1 - (i * 31) % 17 % (i - 1)) AS s, 'person/' || i AS o FROM range(2, 1000) AS t(i) WHERE i % 3 = 0)"""
+
+
+@query(f"WITH RECURSIVE {PEOPLE}, r AS (SELECT s, o FROM knows UNION SELECT r.s, knows.o FROM r JOIN knows ON r.o = knows.s) SELECT s, o FROM r")
+def knows_closure(spark, sf_dir):
+    """A closure with long cycles, far larger than its edges."""
+    return derived(triplify.people(spark), "reach(?x, ?y) :- knows(?x, ?y).\nreach(?x, ?z) :- reach(?x, ?y), knows(?y, ?z).", "reach")
+
+
+@query(f"WITH RECURSIVE {PEOPLE}, r AS (SELECT s, o FROM parents UNION SELECT r.s, parents.o FROM r JOIN parents ON r.o = parents.s) SELECT s, o FROM r")
+def parents_closure(spark, sf_dir):
+    return derived(triplify.people(spark), "above(?x, ?y) :- parentOf(?x, ?y).\nabove(?x, ?z) :- parentOf(?x, ?y), above(?y, ?z).", "above")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     return located_in_closure(spark, "/root/testdata/sf0.001")

@@ -53,3 +53,12 @@ def event_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     pairs = e.select("event_type", F.lag("event_type").over(w).alias("before")).filter(F.col("before").isNotNull()).select("before", "event_type").distinct()
     return _edges(pairs, node("type", "before"), "followedBy", node("type", "event_type"))
+
+
+def people(spark: SparkSession, persons: int = 1000, acquaintances: int = 2000) -> DataFrame:
+    """An invented graph of fixed size: who knows whom, which has long cycles, and who is whose parent, a forest."""
+    i = F.col("id")
+    person = lambda k: F.concat(F.lit("person/"), k.cast("string"))
+    knows = spark.range(acquaintances).select(person(i % persons).alias("s"), F.lit("knows").alias("p"), person((i * 7919 + (i * i) % 10007 * 31 + 13) % persons).alias("o"))
+    parents = spark.range(2, persons).filter(i % 3 == 0).select(person(i - 1 - (i * 31) % 17 % (i - 1)).alias("s"), F.lit("parentOf").alias("p"), person(i).alias("o"))
+    return knows.union(parents)
