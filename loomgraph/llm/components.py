@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import cut
+from loomgraph.llm.shared import cut, join_hot
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -13,18 +13,20 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     Alternates large-star and small-star rewriting until no edge changes: every round
     replaces each node's neighbours by links to the smallest of them, so the number of
-    edges doesn't grow, rounds grow with the logarithm of the longest chain, and no
-    component is ever gathered in one task. An empty table gives an empty table.
+    edges doesn't grow and rounds grow with the logarithm of the longest chain. A node's
+    smallest neighbour is aggregated before the shuffle, and comes to the links of a hub by
+    broadcast, so no task holds a component or all links of a node. Loops and repeated
+    links count once, null nodes aren't linked, and an empty table gives an empty table.
     """
     edges = cut(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = join_hot(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.filter("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        small = join_hot(large, least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         edges = cut(small.filter("u <> v").distinct())
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
@@ -33,4 +35,4 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+    return cut(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))

@@ -11,15 +11,18 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut, shared_dir
+from loomgraph.session import cut, discard, scratch, shared_dir
 
 #: A side is broadcast only if its counted rows times a stated row width stay below this.
 BROADCAST_BYTES = 16 << 20
 
-__all__ = ["BROADCAST_BYTES", "cut", "held", "join_checked", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
+#: A key is hot if it has at least this share of a side's rows: there are at most 1 / HOT of them.
+HOT = 1 / 1000
+
+__all__ = ["BROADCAST_BYTES", "cut", "discard", "held", "join_checked", "join_hot", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
 
 
 _SHIPPED: set[str] = set()
@@ -52,14 +55,27 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int = 64) -> DataFrame:
-    """left joined to a materialised right side, which is broadcast only where its counted size allows; else both are shuffled."""
-    return left.join(F.broadcast(right) if right.count() * row_bytes <= BROADCAST_BYTES else right, on, how)
+def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int = 64, size: Column | None = None) -> DataFrame:
+    """left joined to a materialised right side, which is broadcast only where its counted size allows; else both are shuffled.
+
+    The size is the rows times row_bytes, or the sum of size, for rows of any width.
+    """
+    n = right.count() * row_bytes if size is None else right.agg(F.sum(size + row_bytes).alias("n")).first().n or 0
+    return left.join(F.broadcast(right) if n <= BROADCAST_BYTES else right, on, how)
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder's URI in the folder that driver and executors share."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def join_hot(left: DataFrame, right: DataFrame, on: str, share: float = HOT) -> DataFrame:
+    """left joined to right, both materialised; right has one row of fixed width for a key, left any number.
+
+    Rows of hot keys stay where they are and meet the few rows of right that they need by
+    broadcast, so that no task gets all rows of a key. The others are shuffled.
+    """
+    least = max(1000, int(left.count() * share))
+    hot = cut(left.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).select(on))  # at most 1 / share rows
+    if hot.isEmpty():
+        return left.join(right, on)
+    few = cut(right.join(F.broadcast(hot), on, "left_semi"))
+    return left.join(F.broadcast(few), on).unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
 
 
 def filesystem(uri: str):

@@ -26,11 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components
-from loomgraph.llm.shared import cut, join_checked
+from loomgraph.llm.shared import cut, join_checked, join_hot
 
 BITS, SHINGLE, SEED = 64, 4, 42
-#: Numbers of parts that plans are sought among. One number keeps the probes of a fingerprint the same at every size.
-PARTS = (3,)
+#: What a candidate costs, in probes: probes are spread evenly, candidates gather at common values in few tasks.
+CANDIDATE = 8.0
+#: A part value that more fingerprints have is crowded. Its links are made through representatives.
+CROWD = 64
+#: Fingerprints of a crowded value are dealt to so many tasks.
+SALTS = 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -115,8 +119,9 @@ def allocate(costs: list[list[float]], budget: int) -> tuple[float, list[int]]:
     return best[budget]
 
 
-def plan(fps: DataFrame, distance: int, parts: tuple[int, ...] = PARTS) -> Plan:
-    """The cheapest grouping and thresholds; fps has distinct fingerprints, all of which are counted."""
+def plan(fps: DataFrame, distance: int, parts: tuple[int, ...] | None = None) -> Plan:
+    """The cheapest grouping and thresholds for the numbers of parts, by default 2 to distance + 1; fps has distinct fingerprints, all of which are counted."""
+    parts = parts or tuple(range(min(2, distance + 1), distance + 2))
 
     def moments(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((BITS + 1, BITS), dtype=np.int64)
@@ -150,7 +155,7 @@ def plan(fps: DataFrame, distance: int, parts: tuple[int, ...] = PARTS) -> Plan:
             row = [0.0]
             for t in range(min(distance, len(part)) + 1):
                 probes = n * (1 + sum(comb(len(part), e) for e in range(t + 1)))
-                row.append(probes + exact * model[t] / max(model[0], 1e-300) / 2)
+                row.append(probes + CANDIDATE * exact * model[t] / max(model[0], 1e-300) / 2)
             costs.append(row)
         cost, thresholds = allocate(costs, distance + 1)
         plans.append(Plan(tuple(map(tuple, g)), tuple(thresholds), cost))
@@ -163,9 +168,8 @@ def mask(bits: tuple[int, ...] | list[int]) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(fps: DataFrame, distance: int, by: Plan | None = None) -> DataFrame:
-    """a < b (signed order): all pairs of distinct fingerprints that differ in at most so many bits."""
-    by = by or plan(fps, distance)
+def _sides(fps: DataFrame, by: Plan) -> tuple[DataFrame, DataFrame]:
+    """(part, value, a) of the fingerprints' own values, and (part, value, b) of all that they probe."""
 
     def keys(i: int, most: int) -> Column:
         """The part's value and all within so many bits of it."""
@@ -176,24 +180,70 @@ def links(fps: DataFrame, distance: int, by: Plan | None = None) -> DataFrame:
     used = sorted((i for i, t in enumerate(by.thresholds) if t >= 0), key=lambda i: -by.thresholds[i])  # the same plan whichever part has which threshold
     home = fps.select(F.col("fp").alias("a"), F.explode(F.concat(*[keys(i, 0) for i in used])).alias("k")).select("a", "k.*")
     probe = fps.select(F.col("fp").alias("b"), F.explode(F.concat(*[keys(i, by.thresholds[i]) for i in used])).alias("k")).select("b", "k.*")
-    near = home.join(probe, ["part", "value"]).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
-    return near.select("a", "b").distinct()
+    return home, probe
+
+
+def _near(distance: int) -> Column:
+    return F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
+
+
+def links(fps: DataFrame, distance: int, by: Plan | None = None) -> DataFrame:
+    """a < b (signed order): all pairs of distinct fingerprints that differ in at most so many bits."""
+    home, probe = _sides(fps, by or plan(fps, distance))
+    return home.join(probe, ["part", "value"]).filter((F.col("a") < F.col("b")) & _near(distance)).select("a", "b").distinct()
+
+
+def roots(fps: DataFrame, distance: int, by: Plan | None = None, crowd: int = CROWD) -> DataFrame:
+    """node, root of the fingerprints that have a link: root is the least one that links reach.
+
+    Values that at most crowd fingerprints have are joined with their probes. Of a crowded
+    value all probes are compared with its least fingerprint. With the components of these
+    links, the members of a crowded value that are in its largest component need no more
+    comparison with one another: what is left are the pairs of which one is outside it.
+    """
+    by = by or plan(fps, distance)
+    home, probe = _sides(fps, by)
+    crowded = cut(home.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).filter(F.col("n") > crowd))
+    pairs = lambda joined: joined.filter((F.col("a") != F.col("b")) & _near(distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if crowded.isEmpty():
+        return components(cut(pairs(home.join(probe, ["part", "value"])).distinct()))
+    width = 32  # two numbers and their overhead
+    marks = crowded.select("part", "value")
+    quiet = join_checked(home, marks, ["part", "value"], "left_anti", width).join(probe, ["part", "value"])
+    busy_home = cut(join_checked(home, marks, ["part", "value"], "left_semi", width))
+    busy_probe = cut(join_checked(probe, marks, ["part", "value"], "left_semi", width))
+    stars = join_checked(busy_probe, crowded.select("part", "value", "a"), ["part", "value"], "inner", width)
+    found = cut(pairs(quiet).unionByName(pairs(stars)).distinct())
+    known = components(found)
+    own = lambda df, c, r: df.join(known.select(F.col("node").alias(c), F.col("root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
+    busy_home, busy_probe = cut(own(busy_home, "a", "ra")), cut(own(busy_probe, "b", "rb"))
+    sizes = busy_home.groupBy("part", "value", "ra").agg(F.count(F.lit(1)).alias("n"))
+    largest = cut(sizes.groupBy("part", "value").agg(F.max_by("ra", F.struct("n", "ra")).alias("main")))
+    inner = lambda df: join_checked(df, largest, ["part", "value"], "inner", width)
+    salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = lambda df, c: df.withColumn("salt", F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int"))
+    h, p, key = inner(busy_home), inner(busy_probe).drop("main"), ["part", "value", "salt"]
+    outside = salted(h.filter("ra <> main").drop("main")).join(dealt(p, "b"), key)
+    inside = dealt(h.filter("ra = main").drop("main"), "a").join(salted(inner(busy_probe).filter("rb <> main").drop("main")), key)
+    more = cut(pairs(outside.unionByName(inside).filter("ra <> rb")).distinct())
+    return known if more.isEmpty() else components(known.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs.
 
-    component_id is the smallest doc_id that links reach, the row's own included. Rows with
-    a null doc_id take part and have their group's id, null if no row of it has one.
-    Repeated rows are returned as often as they stand. Other columns are ignored.
+    component_id is the smallest doc_id that links reach, the row's own included. Null and
+    empty texts have fingerprint zero and are one node. Rows with a null doc_id take part
+    and have their group's id, null if no row of it has one. Repeated rows are returned as
+    often as they stand. Very long texts are read whole. Other columns are ignored. An empty
+    table gives none.
     """
     table = cut(fingerprints(docs))
     nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp"), distance))
-    moved = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = moved.groupBy("root").agg(F.min("first").alias("component_id"))
-    ids = moved.join(least, "root").select("fp", "component_id")
-    return table.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    moved = cut(nodes.join(roots(nodes.select("fp"), distance).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    least = cut(moved.groupBy("root").agg(F.min("first").alias("component_id")))
+    ids = cut(join_hot(moved, least, "root").select("fp", "component_id"))
+    return join_hot(table, ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:

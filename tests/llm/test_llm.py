@@ -378,6 +378,47 @@ def test_links_are_complete(spark):
     assert {tuple(r) for r in simhash.links(frame, 4, simhash.plan(frame, 4, (2, 5))).collect()} == want
 
 
+def test_crowded_values(spark):
+    """Balls of hundreds of fingerprints, some bridged, in few part values: the components that all pairs give."""
+    rng = np.random.default_rng(8)
+    fps = {0}
+    for center in (0, 0b11111, 1 << 40, (1 << 40) | 0b1111110000, 0xFFFF << 20):
+        fps |= {center ^ sum(1 << int(k) for k in rng.choice(24, rng.integers(0, 4), replace=False)) for _ in range(90)}
+    fps |= {int(x) >> 1 for x in rng.integers(0, 1 << 63, 50, dtype=np.uint64)}
+    fps = sorted(fps)
+    first = {x: x for x in fps}
+    near = [(a, b) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 2]
+    for _ in fps:
+        moved = [(x, y) for a, b in near for x, y in ((a, b), (b, a)) if first[x] < first[y]]
+        if not moved:
+            break
+        for x, y in moved:
+            first[y] = min(first[x], first[y])
+    frame = spark.createDataFrame([(x,) for x in fps], "fp long")
+    linked = {x for pair in near for x in pair}
+    for by in (simhash.plan(frame, 2), simhash.plan(frame, 2, (2,))):
+        for crowd in (4, 64, 10_000):
+            assert {r.node: r.root for r in simhash.roots(frame, 2, by, crowd).collect()} == {x: first[x] for x in linked}
+
+
+def test_number_of_parts_follows_the_rows():
+    """More fingerprints call for fewer, wider parts: the quadratic share of the cost outgrows the probes."""
+    def cost(n, m):
+        width = simhash.BITS // m
+        rows = [[0.0, *[n * (1 + sum(simhash.comb(width, e) for e in range(t + 1))) + simhash.CANDIDATE * n * n / 2**width * sum(simhash.comb(width, e) for e in range(t + 1)) / 2 for t in range(5)]] for _ in range(m)]
+        return simhash.allocate(rows, 5)[0]
+
+    best = [min((2, 3, 4, 5), key=lambda m: cost(n, m)) for n in (1e3, 1e5, 1e9)]
+    assert best == [5, 3, 2]
+
+
+def test_hub_of_many_links(spark):
+    """A node with most of the links, joined by broadcast."""
+    edges = spark.range(5000).selectExpr("id + 1 AS a", "0L AS b").union(spark.range(30).selectExpr("id + 9000 AS a", "id + 9001 AS b"))
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert got == {i: 0 for i in range(5001)} | {i: 9000 for i in range(9000, 9031)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
