@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from loomgraph.llm.shared import batches, held, utf32
 
-#: A language is learned from the first TRAIN_CHARS letters and spaces of at most TRAIN_ROWS rows, of which each gives ROW_CHARS at most.
+#: The bounded sample: a language is learned from the whole texts of at most TRAIN_ROWS rows, of TRAIN_CHARS characters in all (or of one text that is longer). Texts of up to ROW_CHARS are preferred.
 TRAIN_ROWS, ROW_CHARS, TRAIN_CHARS = 48, 1000, 24_000
 CHUNK, LANES = 2048, 4096
 #: A language's most frequent symbols have columns in its table; transitions by others are looked up.
@@ -140,9 +140,16 @@ class Model:
         self.ids[0] = 0
         self.automata = [Automaton(self.ids[parts[k]].tolist(), len(known) + 1) for k in self.langs]
         self.bits = np.array([np.log2(max(2, len(parts[k]))) for k in self.langs])
+        self.letter_bits = np.array([np.log2(max(2, len(np.unique(parts[k])))) for k in self.langs])
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """und and 0 where text is null, has no letter, or nothing was learned; score is the runner-up's share of both costs, 1 for a single language."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """Language, score and told of each text.
+
+        und and 0 where text is null, has no letter, or nothing was learned; score is the
+        runner-up's share of both costs, 1 for a single language; of equal costs the first
+        language by name wins. told: the phrases beyond the first cost less than the text's
+        letters one by one, as they don't in text of no language that was learned.
+        """
         seqs = [letters(t) if t else np.zeros(0, np.uint32) for t in texts]
         usable = [bool(self.langs) and bool(s.any()) for s in seqs]
         cost = np.zeros((len(self.langs), len(texts)))
@@ -164,18 +171,20 @@ class Model:
             owners = np.array([owner[k] for k in part])
             for l, a in enumerate(self.automata):
                 np.add.at(cost[l], owners, a.phrases(lanes, lengths))
-        names, scores = [], []
+        names, scores, told = [], [], []
         for i in range(len(texts)):
             if not usable[i]:
                 names.append(UNKNOWN)
                 scores.append(0.0)
+                told.append(False)
                 continue
             c = cost[:, i] * self.bits
             best = int(np.argmin(c))
             names.append(self.langs[best])
             rest = np.delete(c, best)
             scores.append(float(rest.min() / (rest.min() + c[best])) if len(rest) else 1.0)
-        return names, scores
+            told.append(bool(c[best] - self.bits[best] < len(seqs[i]) * self.letter_bits[best]))
+        return names, scores, told
 
 
 def _model(texts: tuple[tuple[str, str], ...]) -> Model:
@@ -183,43 +192,69 @@ def _model(texts: tuple[tuple[str, str], ...]) -> Model:
 
 
 def training(docs: DataFrame, rows: int = TRAIN_ROWS, row_chars: int = ROW_CHARS, chars: int = TRAIN_CHARS) -> dict[str, str]:
-    """Language to training text, from a bounded sample of labelled rows.
+    """Language to training text, from a bounded sample of labelled rows, whose texts are taken whole.
 
     Rows whose crc32(doc_id as text) mod 4 is 2, or that have no id, language or text, take
-    no part. Of each language the rows with the smallest hash of id and text are taken: first
-    of each of 64 salts, then of those, so that no task orders a whole language.
+    no part; repeated rows count once; an empty table teaches nothing. Of each language the
+    rows with the smallest hash of id and text are taken, texts longer than row_chars only
+    if there are too few others, the shortest first. Rows are chosen by hash and length, of
+    each of 64 salts before all, so that no task orders a whole language; only then are
+    their texts fetched.
     """
     h = F.xxhash64("doc_id", "text")
-    usable = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
-    skinny = usable.select(F.col("lang").cast("string").alias("lang"), h.alias("h"), F.pmod(h, F.lit(64)).alias("salt"), F.substring("text", 1, row_chars).alias("t")).filter(F.length(F.trim("t")) > 0)
-    first = skinny.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "t"))).filter(F.col("n") <= rows)
-    best = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))).filter(F.col("n") <= rows)
-    out: dict[str, str] = {}
-    for r in sorted(best.select("lang", "n", "t").collect(), key=lambda r: (r.lang, r.n)):
-        out[r.lang] = (out.get(r.lang, "") + "\n" + r.t)[:chars]
-    return out
+    usable = docs.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).filter(F.length(F.trim("text")) > 0)
+    size = F.length("text")
+    skinny = usable.select(F.col("lang").cast("string").alias("lang"), "doc_id", h.alias("h"), size.alias("size"), F.when(size > row_chars, size).otherwise(0).alias("late"), F.pmod(h, F.lit(64)).alias("salt"))
+    first = skinny.withColumn("n", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("late", "h", "doc_id"))).filter(F.col("n") <= rows)
+    best = first.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("late", "h", "doc_id"))).filter(F.col("n") <= rows)
+    chosen: dict[str, dict[int, object]] = {}
+    held: dict[str, int] = {}
+    for r in sorted(best.collect(), key=lambda r: (r.lang, r.n)):  # at most rows of each language
+        own = chosen.setdefault(r.lang, {})
+        if r.h not in own and (not own or held[r.lang] + r["size"] <= chars):
+            own[r.h] = r.doc_id
+            held[r.lang] = held.get(r.lang, 0) + r["size"]
+    if not chosen:
+        return {}
+    ids = sorted({i for own in chosen.values() for i in own.values()})
+    hashes = sorted({k for own in chosen.values() for k in own})
+    found = usable.filter(F.col("doc_id").isin(ids)).select(F.col("lang").cast("string").alias("lang"), h.alias("h"), F.col("text").cast("string").alias("text")).filter(F.col("h").isin(hashes)).distinct()
+    texts = {(r.lang, r.h): r.text for r in found.collect()}
+    return {lang: "\n".join(texts[lang, k] for k in own) for lang, own in chosen.items()}
 
 
 def predict(docs: DataFrame, texts: dict[str, str]) -> DataFrame:
-    """doc_id, lang_pred, score of every row; only text is an input of the prediction."""
+    """doc_id, lang_pred, score of every row; only text is an input of the prediction.
+
+    Null text, and text without a letter, is und with score 0, as all text is if nothing was
+    learned. Repeated rows are predicted as often as they stand, null ids are carried, other
+    columns are ignored, and an empty table gives none. A text of any length is parsed
+    whole. Of languages of equal cost the first by name is taken.
+    """
     key = tuple(sorted(texts.items()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 2000):
-            names, scores = _model(key).predict(b.column(1).to_pylist())
+            names, scores, _ = _model(key).predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, texts: dict[str, str], least: float = 0.0) -> DataFrame:
-    """The rows of docs, unchanged, whose language is identified with at least that score; und rows go."""
+    """The rows of docs, unchanged, whose language is told with at least that score.
+
+    Rejected are texts that are null or without a letter, and those that the best language's
+    phrases don't explain better than its letters one by one do: text of no language that
+    was learned. Repeated rows and rows without an id are judged like others. Columns of any
+    name pass through. If nothing was learned, no row is kept.
+    """
     key = tuple(sorted(texts.items()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 2000):
-            names, scores = _model(key).predict(b.column(b.schema.get_field_index("text")).to_pylist())
-            keep = pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_())
+            names, scores, told = _model(key).predict(b.column(b.schema.get_field_index("text")).to_pylist())
+            keep = pa.array([n != UNKNOWN and t and s >= least for n, s, t in zip(names, scores, told, strict=True)], pa.bool_())
             yield b.filter(keep)
 
     return docs.mapInArrow(run, docs.schema)

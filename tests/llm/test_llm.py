@@ -126,6 +126,59 @@ def test_cross_parsing():
     assert a.phrases(lane, np.array([len(x)]))[0] == phrases
 
 
+def plain_phrases(hay, needle):
+    """Longest matches, one after the other; an unseen letter is a phrase of its own."""
+    at, phrases = 0, 0
+    while at < len(needle):
+        n = 1
+        while at + n < len(needle) and needle[at : at + n + 1] in hay:
+            n += 1
+        at, phrases = at + n, phrases + 1
+    return phrases
+
+
+def test_predictions_are_those_of_plain_parsing(spark, docs):
+    """Language, score and told of whole texts, from substring search in the training texts."""
+    texts = langid.training(docs)
+    own = [r.text for r in docs.filter("length(text) < 3000").limit(60).collect()]
+    rng = np.random.default_rng(4)
+    own += ["ж" * 300, "a", "1 2 3", "", "qq", "".join(map(chr, rng.integers(0x4E00, 0x5000, 200)))]
+    flat = lambda t: "".join(map(chr, langid.letters(t)))
+    hays = {k: flat(t) for k, t in sorted(texts.items())}
+    for text, name, score, told in zip(own, *langid.Model(texts).predict(own), strict=True):
+        needle = flat(text)
+        if not needle.strip("\0"):
+            assert (name, score, told) == ("und", 0.0, False)
+            continue
+        phrases = {k: sum(plain_phrases(h, needle[c : c + langid.CHUNK]) for c in range(0, len(needle), langid.CHUNK)) for k, h in hays.items()}
+        cost = {k: n * np.log2(len(hays[k])) for k, n in phrases.items()}
+        best, second = sorted(cost, key=lambda k: (cost[k], k))[:2]
+        assert name == best and score == pytest.approx(cost[second] / (cost[best] + cost[second]))
+        assert told == ((phrases[best] - 1) * np.log2(len(hays[best])) < len(needle) * np.log2(len(set(hays[best]))))
+
+
+def test_training_takes_whole_texts(spark):
+    rows = [(i, f"kurz {i} " + "wort " * (i % 7), "de") for i in range(0, 400)] + [(5000 + i, "long " * 9000, "en") for i in range(3)] + [(7000, "mot " * 9000, "fr"), (7000, "mot " * 9000, "fr"), (7002, "les mots", "fr")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    by_text = {(k, t): i for i, t, k in rows}
+    texts = langid.training(table)
+    for lang, joined in texts.items():
+        parts = joined.split("\n")
+        assert all((lang, p) in by_text and zlib.crc32(str(by_text[lang, p]).encode()) % 4 != 2 for p in parts)
+        assert len(parts) == 1 or len(joined) <= langid.TRAIN_CHARS + len(parts)
+    assert len(texts["de"].split("\n")) == langid.TRAIN_ROWS and texts["en"] == "long " * 9000
+
+
+def test_rejected_languages(spark, odd, docs):
+    texts = langid.training(docs)
+    rng = np.random.default_rng(6)
+    rows = [(1, "".join(map(chr, rng.integers(0x4E00, 0x5000, 300)))), (2, "the"), (3, None), (4, "42"), (4, "42"), (None, "und der die das ist"), (6, "жщ" * 200)]
+    kept = langid.keep_identified(spark.createDataFrame(rows, "doc_id long, text string"), texts).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["2", "None"]
+    assert langid.keep_identified(odd, {}).count() == 0 and langid.keep_identified(empty(odd), texts).count() == 0
+    assert langid.predict(empty(odd), texts).count() == 0 and langid.training(empty(odd)) == {}
+
+
 def test_languages_of_many_letters():
     """Each training letter is its own symbol, whatever other languages there are; phrases as plain Python finds them."""
     rng = np.random.default_rng(2)
