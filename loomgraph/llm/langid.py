@@ -86,8 +86,9 @@ class Automaton:
             often = np.argsort(-np.bincount(sequence, minlength=width), kind="stable")[: COLUMNS - 1]
             self.column = np.full(width, COLUMNS - 1, dtype=np.uint16)
             self.column[often] = np.arange(len(often))
-        self.table = np.full((len(following), min(width, COLUMNS)), -1, dtype=np.int32)
-        self.root = np.zeros(width, dtype=np.int64)
+        # the last state has no transition: a symbol that the sequence lacks is a phrase by itself
+        self.table = np.full((len(following) + 1, min(width, COLUMNS)), -1, dtype=np.int32)
+        self.root = np.full(width, len(following), dtype=np.int64)
         rare = []
         for s, edges in enumerate(following):
             for c, t in edges.items():
