@@ -1,9 +1,12 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0); abstaining is no evidence. Documents with equal votes are one row
-of a table of at most 3^rules rows, over which expectation-maximisation estimates each
-rule's votes among good and bad documents. The posterior probability of good quality
-replaces having to pass all rules.
+Each rule votes good (1), bad (-1) or abstains (0), where it doesn't apply or its measure is
+neither clearly good nor clearly bad; abstaining is no evidence. Documents are taken to be
+good or of one of a few kinds of bad text, in each of which a rule votes bad with its own
+probability. Expectation-maximisation estimates these probabilities and the share of each
+kind over the table of vote patterns, which has at most 3^rules rows; nothing is given but
+where it starts. The posterior probability of the good kind replaces having to pass all
+rules: a bad vote counts as much as the rule's estimated accuracy says.
 """
 
 from __future__ import annotations
@@ -15,8 +18,10 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.shared import cut
 
-SPACE, WINDOW, ROUNDS = r"[\x20\x09-\x0D]+", 5, 20
+SPACE, WINDOW, ROUNDS = r"[\x20\x09-\x0D]+", 5, 60
 MARKS = "#*$%&|<>"
+#: Words without a letter.
+UNLETTERED = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
 
 
 def let(value: Column, body) -> Column:
@@ -65,78 +70,94 @@ def measures(docs: DataFrame) -> DataFrame:
         (length - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
         (length - without("!")).cast("long").alias("n_shouts"),
         (length - without(".?")).cast("long").alias("n_stops"),
+        F.length(F.regexp_replace("text", r"[^\p{L}]++", "")).cast("long").alias("n_letters"),
+        F.regexp_count("text", F.lit(UNLETTERED)).cast("long").alias("n_unlettered"),
     )
 
 
-def rules() -> dict[str, Column]:
-    """Votes from the measures; n_words may be 0. Most rules only know bad signs and else abstain."""
+def rules() -> dict[str, tuple[int, Column]]:
+    """For each rule the kind of bad text that it starts from, and its vote from the measures; n_words may be 0."""
     c, words = F.col, F.greatest(F.col("n_words"), F.lit(1))
-    vote = lambda bad, good=None: F.when(bad, -1).otherwise(0 if good is None else F.when(good, 1).otherwise(0))
-    mean = c("word_chars") / words
+    vote = lambda bad, good: F.when(bad, -1).when(good, 1).otherwise(0)
+    mean, lines, chars = c("word_chars") / words, c("n_lines"), c("word_chars")
     return {
-        "length": vote(c("n_words") < 10),
-        "word_length": vote((mean < 2.5) | (mean > 12), mean.between(3.5, 9)),
-        "symbols": vote(c("n_symbols") > 0.1 * words),
-        "repeated_lines": vote((c("n_lines") > 1) & (c("n_dup_lines") > 0.3 * c("n_lines"))),
-        "repeated_words": vote(c("n_repeat_words") > 0.2 * words),
-        "capitals": vote(c("n_upper") > 0.4 * c("word_chars")),
-        "shouting": vote(c("n_shouts") > 0.1 * words),
-        "sentences": vote((c("n_words") >= 30) & (c("n_stops") * 60 < c("n_words")), (c("n_words") >= 30) & (c("n_stops") * 30 >= c("n_words"))),
+        "length": (1, vote(c("n_words") < 10, c("n_words") >= 50)),
+        "sentences": (1, vote((c("n_words") >= 30) & (c("n_stops") * 60 < c("n_words")), (c("n_words") >= 30) & (c("n_stops") * 30 >= c("n_words")))),
+        "word_length": (2, vote((mean < 3) | (mean > 10), mean.between(4, 7))),
+        "symbols": (2, vote(c("n_symbols") > 0.1 * words, c("n_symbols") <= 0.01 * words)),
+        "letters": (2, vote(c("n_letters") < 0.75 * chars, c("n_letters") >= 0.85 * chars)),
+        "lettered_words": (2, vote(c("n_unlettered") > 0.2 * words, c("n_unlettered") <= 0.05 * words)),
+        "repeated_lines": (3, vote((lines > 1) & (c("n_dup_lines") > 0.3 * lines), (lines > 1) & (c("n_dup_lines") <= 0.05 * lines))),
+        "repeated_words": (3, vote((c("n_words") >= 5) & (c("n_repeat_words") > 0.2 * words), (c("n_words") >= 5) & (c("n_repeat_words") <= 0.05 * words))),
+        "capitals": (4, vote(c("n_upper") > 0.3 * chars, (chars > 0) & (c("n_upper") <= 0.1 * chars))),
+        "shouting": (4, vote(c("n_shouts") > 0.1 * words, (c("n_words") >= 10) & (c("n_shouts") <= 0.02 * words))),
     }
 
 
-#: A rule is taken to fail at most this share of good documents; GOOD_SHARE, the class balance, is given and not estimated, as abstentions can't tell it.
-FALSE_ALARMS, GOOD_SHARE = 0.01, 0.8
+class Fit:
+    """share of each kind, the good one first, and for each kind each rule's P(votes bad | it votes).
 
+    EM starts where half of the text is good, which few rules call bad, and each other kind
+    is called bad mostly by its own rules.
+    """
 
-class Fit:
-    """share: of good documents; good, bad: for each rule (P(votes good), P(votes bad)) among good and among bad documents."""
+    def __init__(self, kinds: list[int]):
+        n = max(kinds)
+        self.share = [0.5] + [0.5 / n] * n
+        self.bad = [[0.05] * len(kinds)] + [[0.7 if k == own else 0.1 for k in kinds] for own in range(1, n + 1)]
+
+    def posteriors(self, votes: list[Column]) -> Column:
+        """Array of P(kind | votes)."""
+
+        def evidence(share: float, bad: list[float]) -> Column:
+            out = F.lit(log(share))
+            for v, b in zip(votes, bad, strict=True):
+                out = out + F.when(v < 0, log(b)).when(v > 0, log(1 - b)).otherwise(0.0)
+            return out
 
-    def __init__(self, n: int):
-        self.share, self.good, self.bad = GOOD_SHARE, [(0.9, FALSE_ALARMS)] * n, [(0.6, 0.3)] * n
+        logs = F.array(*[evidence(s, b) for s, b in zip(self.share, self.bad, strict=True)])
+        scaled = let(logs, lambda x: let(F.array_max(x), lambda m: F.transform(x, lambda y: F.exp(y - m))))
+        return let(scaled, lambda x: let(F.aggregate(x, F.lit(0.0), lambda a, y: a + y), lambda t: F.transform(x, lambda y: y / t)))
 
     def posterior(self, votes: list[Column]) -> Column:
-        """P(good | votes); abstaining rules say nothing."""
-        score = F.lit(log(self.share / (1 - self.share)))
-        for v, g, b in zip(votes, self.good, self.bad, strict=True):
-            score = score + F.when(v > 0, log(g[0] / b[0])).when(v < 0, log(g[1] / b[1])).otherwise(0.0)
-        return 1 / (1 + F.exp(-score))
-
-
-def fit(votes: DataFrame, names: list[str], rounds: int = ROUNDS) -> Fit:
-    """EM over the counted vote patterns; each round is one aggregation to a single row. Shares are smoothed and kept from 0 and 1."""
-    out, cols = Fit(len(names)), [F.col(f"v_{n}") for n in names]
-    table = cut(votes.groupBy(*[f"v_{n}" for n in names]).agg(F.count(F.lit(1)).cast("double").alias("n")).coalesce(1))
-    clip = lambda x, low=0.001, high=0.999: min(high, max(low, x))
+        """P(good | votes)."""
+        return F.get(self.posteriors(votes), F.lit(0))
+
+
+def fit(votes: DataFrame, kinds: dict[str, int], rounds: int = ROUNDS, close: float = 1e-4) -> Fit:
+    """EM over the counted vote patterns v_<rule>, until no share changes by more; each round is one aggregation to a row for each kind.
+
+    Counts are smoothed by one vote for each answer. Without rows the start is returned.
+    """
+    out, names = Fit(list(kinds.values())), [f"v_{n}" for n in kinds]
+    table = cut(votes.groupBy(*names).agg(F.count(F.lit(1)).cast("double").alias("n")).coalesce(1))
+    cols = [F.col(n) for n in names]
     for _ in range(rounds):
-        p, n = F.col("p"), F.col("n")
-        sums = [F.sum(n), F.sum(n * p)]
-        for c in cols:
-            sums += [F.sum(F.when(c > 0, n * p)), F.sum(F.when(c < 0, n * p)), F.sum(F.when(c > 0, n * (1 - p))), F.sum(F.when(c < 0, n * (1 - p)))]
-        row = [x or 0.0 for x in table.withColumn("p", out.posterior(cols)).agg(*[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()]
-        if not row[0]:
+        rows = table.select("n", *names, F.posexplode(out.posteriors(cols)).alias("kind", "p"))
+        mass = F.col("n") * F.col("p")
+        sums = [F.sum(mass).alias("all"), *[F.sum(F.when(c < 0, mass).otherwise(0.0)).alias(f"bad{i}") for i, c in enumerate(cols)], *[F.sum(F.when(c > 0, mass).otherwise(0.0)).alias(f"good{i}") for i, c in enumerate(cols)]]
+        found = rows.groupBy("kind").agg(*sums).orderBy("kind").collect()  # a row for each kind
+        if not found:
             break
-        before, good, bad = [*out.good, *out.bad], row[1], row[0] - row[1]
-        for i in range(len(cols)):
-            a, b, c, d = row[2 + 4 * i : 6 + 4 * i]
-            out.good[i] = (clip((a + 9) / (good + 10)), clip(b / (good + 10), high=FALSE_ALARMS))
-            out.bad[i] = (clip((c + 6) / (bad + 10), 0.3), clip((d + 3) / (bad + 10), 2 * FALSE_ALARMS))
-        if max(abs(x - y) for a, b in zip(before, [*out.good, *out.bad], strict=True) for x, y in zip(a, b, strict=True)) < 1e-4:
+        total, before = sum(r["all"] for r in found), out.share
+        out.share = [(r["all"] + 1) / (total + len(found)) for r in found]
+        out.bad = [[(r[f"bad{i}"] + 1) / (r[f"bad{i}"] + r[f"good{i}"] + 2) for i in range(len(cols))] for r in found]
+        if max(abs(a - b) for a, b in zip(before, out.share, strict=True)) < close:
             break
     return out
 
 
 def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Every row's measures, its base_failed, the posterior probability and kept.
+    """Every row's measures, its base_failed, the posterior probability of good quality, and kept.
 
     base_failed (fewer than 10 words, or over a fifth of them in repeated windows) is never
-    kept. Repeated rows are judged as often as they stand; other columns are ignored; an
-    empty table gives none.
+    kept; else rows are whose posterior is at least the bound, equality included. Null and
+    empty texts have no word and are base_failed. Texts are read whole, however long.
+    Repeated rows are judged, and counted by EM, as often as they stand; a null doc_id is
+    carried; other columns are ignored; an empty table gives none.
     """
     ballots = rules()
-    names = list(ballots)
-    table = cut(measures(docs))
-    votes = table.select("*", *[v.alias(f"v_{n}") for n, v in ballots.items()])
-    p = fit(votes, names).posterior([F.col(f"v_{n}") for n in names])
+    table = cut(measures(docs).select("*", *[v.alias(f"v_{n}") for n, (_, v) in ballots.items()]))
+    p = fit(table, {n: k for n, (k, _) in ballots.items()}).posterior([F.col(f"v_{n}") for n in ballots])
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return votes.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & (p >= least)).alias("kept"), p.alias("quality"))
+    return table.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), p.alias("quality")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= least))

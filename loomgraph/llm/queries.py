@@ -52,6 +52,23 @@ def op4_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def quality_measures(spark, sf_dir):
+    """What the rules of op4 measure, which SQL can say."""
+    return quality.measures(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+ORACLES["quality_measures"] = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+twice AS (SELECT doc_id, gram FROM g GROUP BY doc_id, gram HAVING count(*) > 1),
+held AS (SELECT DISTINCT doc_id, i + k AS place FROM (SELECT g.doc_id, g.i, unnest(range(5)) AS k FROM g SEMI JOIN twice ON g.doc_id = twice.doc_id AND g.gram = twice.gram)),
+r AS (SELECT doc_id, count(*) AS n FROM held GROUP BY doc_id)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+  coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)"""
+
+
 @query
 def op5_token_counts(spark, sf_dir):
     return tokenfiles.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -298,6 +298,69 @@ def test_quality(spark, docs, odd):
     assert np.mean([r.kept for r in both if r[-2] == 1]) > 0.95 and np.mean([r.kept for r in both if r[-2] == 0]) < 0.5
 
 
+def plain_em(patterns, kinds, rounds):
+    """patterns: votes to counts; EM in numpy."""
+    v, n = np.array(list(patterns)), np.array(list(patterns.values()), float)
+    start = quality.Fit(kinds)
+    share, bad = np.array(start.share), np.array(start.bad)
+
+    def answer():
+        logs = np.log(share) + (v < 0) @ np.log(bad).T + (v > 0) @ np.log(1 - bad).T
+        p = np.exp(logs - logs.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    for _ in range(rounds):
+        mass = n[:, None] * answer()
+        old, share = share, (mass.sum(0) + 1) / (n.sum() + len(share))
+        bad = (mass.T @ (v < 0) + 1) / (mass.T @ (v != 0) + 2)
+        if abs(old - share).max() < 1e-4:
+            break
+    return share, bad, dict(zip(patterns, answer()[:, 0], strict=True))
+
+
+def test_em_of_whole_tables(spark, docs):
+    """Shares, accuracies and posteriors are those of EM in numpy over the same votes."""
+    ballots = quality.rules()
+    names, kinds = list(ballots), [k for k, _ in ballots.values()]
+    voted = quality.measures(docs).select("doc_id", *[v.alias(f"v_{n}") for n, (_, v) in ballots.items()]).collect()
+    votes = {r.doc_id: tuple(r[f"v_{n}"] for n in names) for r in voted}
+    _, _, want = plain_em(Counter(votes.values()), kinds, quality.ROUNDS)
+    for r in quality.judge(docs).collect():
+        assert r.quality == pytest.approx(want[votes[r.doc_id]], abs=1e-6)
+        assert r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
+def test_em_outvotes_a_rule_that_fails_good_text(spark):
+    """Of two rules that call a tenth bad together and a third that calls a fifth bad at random: its votes alone are overruled, though not every rule is passed."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(2000):
+        junk = i % 10 == 0
+        a, b = (-1 if rng.random() < (0.9 if junk else 0.01) else 1 for _ in range(2))
+        rows.append((a, b, -1 if rng.random() < 0.2 else 1 if i % 3 else 0))
+    table = spark.createDataFrame(rows, "v_a int, v_b int, v_c int")
+    kinds = {"a": 1, "b": 1, "c": 1}
+    got = quality.fit(table, kinds)
+    share, bad, want = plain_em(Counter(rows), [1, 1, 1], quality.ROUNDS)
+    assert got.share == pytest.approx(list(share), abs=1e-6) and np.allclose(got.bad, bad, atol=1e-6)
+    assert 0.87 < got.share[0] < 0.93 and got.bad[0][2] == pytest.approx(0.2 / (0.2 + 0.8 * 2 / 3), abs=0.03) and got.bad[1][0] > 0.8
+    p = {(r.v_a, r.v_b, r.v_c): r.p for r in table.distinct().withColumn("p", got.posterior([F.col(f"v_{k}") for k in kinds])).collect()}
+    assert p == pytest.approx(want, abs=1e-6)
+    assert p[1, 1, -1] > 0.9 and p[-1, -1, 1] < 0.1
+    assert quality.fit(table.limit(0), kinds).share == [0.5, 0.5]
+
+
+def test_measures_in_sql(spark, docs):
+    import duckdb
+
+    from loomgraph.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    got = QUERIES["quality_measures"](spark, SF)
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES['quality_measures']})").fetchall())
+
+
 # 5 and 10
 def test_token_files(spark, docs, odd):
     t = tokenfiles.Tokenizer(pieces.model_path(tokenfiles.VOCABULARY))
