@@ -16,6 +16,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.columns import let
 from loomgraph.llm.shared import cut
 
 SPACE, WINDOW, ROUNDS = r"[\x20\x09-\x0D]+", 5, 60
@@ -24,11 +25,6 @@ MARKS = "#*$%&|<>"
 UNLETTERED = r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]++(?![^\x20\x09-\x0D])"
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value computed once: a lambda's variable, where an expression would be computed at each place it stands."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeated_words(words: Column) -> Column:
     """How many words lie in windows of five words that stand twice or more in the text.
 
