@@ -33,7 +33,8 @@ def repeated_words(words: Column) -> Column:
     """
 
     def hashes(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
+        each = F.transform(w, lambda x: F.xxhash64(x))  # a word is hashed once, not in each of its windows
+        return let(each, lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
 
     def covered(h: Column) -> Column:
         pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -51,22 +52,22 @@ def repeated_words(words: Column) -> Column:
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, the counts of the contract and those that the other rules need; null text has no word."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    without = lambda drop: F.length(F.translate("text", drop, ""))
+    count = lambda chars: F.regexp_count("text", F.lit(f"[{chars}]")).cast("long")
     length = F.length("text")
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("words", F.filter(F.split("text", SPACE, -1), lambda w: w != ""))
     return d.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        without(" \t\n\x0b\x0c\r").cast("long").alias("word_chars"),
-        (length - without(MARKS)).cast("long").alias("n_symbols"),
+        (length - count(r"\x20\x09-\x0D")).cast("long").alias("word_chars"),
+        count(MARKS).alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         F.size(lines).cast("long").alias("n_lines"),
-        (length - without("ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long").alias("n_upper"),
-        (length - without("!")).cast("long").alias("n_shouts"),
-        (length - without(".?")).cast("long").alias("n_stops"),
-        F.length(F.regexp_replace("text", r"[^\p{L}]++", "")).cast("long").alias("n_letters"),
+        count("A-Z").alias("n_upper"),
+        count("!").alias("n_shouts"),
+        count(".?").alias("n_stops"),
+        (length - F.length(F.regexp_replace("text", r"\p{L}++", ""))).cast("long").alias("n_letters"),
         F.regexp_count("text", F.lit(UNLETTERED)).cast("long").alias("n_unlettered"),
     )
 

@@ -96,6 +96,118 @@ def test_pii_addresses_and_long_values(spark):
     assert found == {**{i: [(17, 31)] for i in range(8)}, 20: [(3, 9)], 21: [(11, 17), (20, 148)], 22: [(11, 139)], 40: [(102, 109)], 41: [(2, 9)]}
 
 
+def plain_bootstrap(texts):
+    """Context spans in plain Python: texts to a list of (text, start, end)."""
+    gap, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    lettered = lambda w: any(c.isalnum() for c in w)
+    hexed = lambda v: bool(re.fullmatch(r"[0-9a-fA-F]{32,}", v))
+    key = lambda v: hexed(v) and v.lower() != v.upper() and any(c.isdigit() for c in v)
+
+    def left(before):
+        ws = re.split(f"{gap}+", before.split("\n")[-1])
+        if ws[-1] != "" or len(ws) < 2 or not ws[-2]:
+            return ""
+        w = ws[-2]
+        return (w if lettered(w) else f"{ws[-3]} {w}" if len(ws) > 2 and ws[-3] else "").lower()
+
+    def right(after):
+        m = re.match(rf"{word}*{gap}+({word}+)", after.split("\n")[0])
+        return m[1].lower() if m else ""
+
+    def places(found):
+        """(start, end, left, right) of matches in order: contexts reach to the neighbour matches."""
+        out = []
+        for k, (a, b) in enumerate(found):
+            out.append((a, b, found[k - 1][0] if k else 0, found[k + 1][0] if k + 1 < len(found) else None))
+        return out
+
+    edges, spots = Counter(), []
+    words, seed = Counter(), {}
+    for i, t in enumerate(texts):
+        base = []
+        for name, p in PATTERNS.items():
+            matches = [m.span() for m in re.finditer(p, t)]
+            kept = {(int(a), int(b)) for k, a, b in (s.split(":") for s in plain_spans(t).split(",") if s) if k == name}
+            for a, b, lo, hi in places(matches):
+                if (a, b) in kept:
+                    base.append((a, b))
+                    v = t[a:b].lower()
+                    seed[v] = 2
+                    edges["l", left(t[lo:a]), v, 0] += 1
+                    edges["r", right(t[b:hi]), v, 0] += 1
+        tokens = [m.span() for m in re.finditer(rf"{word}+", t) if re.search("[0-9@]", m[0])]
+        for a, b, lo, hi in places(tokens):
+            token = t[a:b]
+            tail = re.sub(r"^[\W_]+", "", token.replace("@", "a"))
+            lead = len(token) - len(tail)
+            bare = token[lead : lead + len(re.sub(r"[\W_]+$", "", tail))]
+            x, y = a + lead, a + lead + len(bare)
+            if (sum(c.isdigit() for c in bare) < 3 and not ("@" in bare and lettered(bare))) or any(c < y and x < d for c, d in base):
+                continue
+            v = bare.lower()
+            seed[v] = max(seed.get(v, 0), int(key(bare)))
+            spots.append((i, x, y, v))
+            rough = f"hex{len(bare)}" if hexed(bare) else re.sub("[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", bare))
+            edges["l", left(t[lo:a]), v, 1] += 1
+            edges["r", right(t[b:hi]), v, 1] += 1
+            edges["s", f"{token[:lead]} {rough} {token[lead + len(bare):]}", v, 1] += 1
+        for line in t.lower().split("\n"):
+            ws = [w for w in re.split(f"{gap}+", line) if w]
+            words.update(ws)
+            words.update(f"{p} {w}" for p, w in zip(ws, ws[1:], strict=False) if not lettered(w))
+    graph, able = {}, {}
+    for (family, c, v, found), n in edges.items():
+        if c:
+            own = graph.setdefault((family, c), Counter())
+            own[v] += n
+            able[family, c] = able.get((family, c), 0) or found
+    graph = {p: own for p, own in graph.items() if len(own) >= pii.LEAST_SEEDS and able[p]}
+    trust = {v: float(seed[v] > 0) for own in graph.values() for v in own}
+    found = {}
+    for _ in range(pii.ROUNDS):
+        score = {}
+        for (family, c), own in graph.items():
+            mass, follow = sum(n * trust[v] for v, n in own.items()), sum(own.values())
+            support = sum(trust[v] >= pii.LEAST_CONFIDENCE for v in own)
+            share = mass / follow if family == "s" else min(1.0, follow / max(1, words.get(c, follow)))
+            s = share * (1 - 0.5**support)
+            if mass >= pii.LEAST_TRUSTED * follow and s >= pii.LEAST_CONFIDENCE and support >= pii.LEAST_SEEDS:
+                score[family, c] = s
+        found = {v: 1 - np.prod([1 - min(s, 0.999) for p, s in score.items() if v in graph[p]]) for v in trust}
+        trust = {v: 1.0 if seed[v] else found[v] for v in trust}
+    good = {v for v, f in found.items() if f >= pii.LEAST_CONFIDENCE} | {v for v, k in seed.items() if k == 2}
+    return sorted((i, a, b) for i, a, b, v in spots if v in good)
+
+
+def test_pii_bootstrap_is_that_of_plain_python(spark, docs):
+    rng = np.random.default_rng(12)
+    keys = ["".join(rng.choice(list("0123456789abcdef"), 40)) for _ in range(8)]
+    texts = [r.text or "" for r in docs.limit(80).collect()]
+    texts += [f"le token = \"{k}\" a b\n und token = \"x{i}y{i}77{i}\" fin" for i, k in enumerate(keys)]
+    texts += [f"{keys[0]} alone", "| 1.2.3.4 | 555123 |", "by host: a1@b.cc, by host: zz99887 or"] + [f"by host: u{i}@mail.org to you" for i in range(5)]
+    texts += ["(7001) at home", "the token = it", "\n = 12345\n\n 9 token =\n777777"] + [f"nr 55{i} von emp-100{i}" for i in range(4)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r.doc_id, s.start, s.end) for r in pii.find(table).collect() for s in r.more)
+    want = plain_bootstrap(texts)
+    assert got == want and len(want) >= 17
+    assert {(88 - 8 + i) for i in range(8)} <= {i for i, _, _ in want}
+
+
+def test_pii_of_very_many_tokens(spark):
+    """Spans and redaction of a text with tens of thousands of matches of each sort, in order and in linear passes."""
+    text = "id 12345 a@b.cd x 1.2.3.4 " * 20_000
+    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = pii.find(table).first()
+    assert len(row.base) == 40_000
+    assert [(s.start, s.end) for s in sorted(row.base)[-2:]] == [(len(text) - 26 + 9, len(text) - 26 + 15), (len(text) - 26 + 18, len(text) - 26 + 25)]
+    assert pii.redact(table).first().text == "id 12345 [EMAIL] x [IP] " * 20_000
+
+
+def test_pii_columns_that_clash(spark):
+    table = spark.createDataFrame([(1, "a@b.cd", 7, "k", "s", "m")], "doc_id long, text string, __id long, __key string, spans string, more string")
+    assert tuple(pii.redact(table).first()) == (1, "[EMAIL]", 7, "k", "s", "m")
+
+
 # 2
 def test_language(spark, docs, odd):
     texts = langid.training(docs)
