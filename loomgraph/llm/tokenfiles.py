@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.llm.pieces import model_path
-from loomgraph.llm.shared import batches, cut, held, listing, open_input, open_output, scratch
+from loomgraph.llm.shared import batches, cut, discard, held, listing, open_input, open_output, scratch
 
 VOCABULARY, EOD, WIDTH = "byte_bpe_multi_50k.tiktoken", 50256, 2
 BLOCK = 8 << 20
@@ -137,13 +137,17 @@ def scan(spark: SparkSession, folder: str, eod: int = EOD, size: int = BLOCK) ->
 
 
 def token_counts(docs: DataFrame, path: str | None = None, size: int = BLOCK) -> DataFrame:
-    """doc_id, n_tokens of every row: docs are written as flat files, which are then scanned.
+    """doc_id, n_tokens of every row: docs are written as flat files, which are then scanned, and deleted.
 
-    Null and empty text have 0 tokens. Rows are matched by place, so null and repeated ids are carried as they stand.
+    Null and empty text have 0 tokens. Rows are matched by place, so null and repeated ids
+    are carried as they stand. Texts of any length are written and scanned whole. Other
+    columns are ignored; an empty table gives none.
     """
     folder = scratch(docs.sparkSession, "tokens")
     order = write(docs, folder, path)
-    return order.join(scan(docs.sparkSession, folder, EOD, size), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    out = cut(order.join(scan(docs.sparkSession, folder, EOD, size), ["file", "ordinal"]).select("doc_id", "n_tokens"))
+    discard(docs.sparkSession, folder)
+    return out
 
 
 class Permutation:
@@ -180,61 +184,109 @@ class Permutation:
         return self._walk(slots, True)
 
 
-def materialise(docs: DataFrame, folder: str, length: int = 1024, per_shard: int = 8192, key: int = 0, path: str | None = None) -> DataFrame:
+#: Sequences that a task reads at once; shards that are shuffled at once, at most; how many parts of the slots are shuffled one after the other.
+CHUNK, PARTITIONS, WAVES = 4096, 10_000, 4
+SEQUENCE = "slot long, sequence long, n_tokens long, ids binary"
+PLACED = "slot long, shard long, byte_offset long, sequence long, n_tokens long, sha1 string"
+
+
+def chunks(spark: SparkSession, folder: str, tokens: int) -> tuple[int, DataFrame | None]:
+    """The tokens of all flat files, and chunk, extents: which stretch of which file holds each so many tokens of the files' one stream."""
+    files = listing(folder)
+    sizes = [n // WIDTH for _, n in files]
+    begins = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    if not begins[-1]:
+        return 0, None
+    table = spark.createDataFrame([(u, b, n) for (u, _), b, n in zip(files, begins, sizes, strict=False) if n], "uri string, begin long, n long")
+    each = table.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("begin") / tokens), F.floor((F.col("begin") + F.col("n") - 1) / tokens))))
+    low = F.greatest(F.col("begin"), F.col("chunk") * tokens)
+    high = F.least(F.col("begin") + F.col("n"), (F.col("chunk") + 1) * tokens)
+    extent = F.struct(low.alias("at"), F.col("uri"), (low - F.col("begin")).alias("from"), (high - low).alias("n"))
+    return begins[-1], cut(each.groupBy("chunk").agg(F.array_sort(F.collect_list(extent)).alias("extents")))
+
+
+def materialise(docs: DataFrame, folder: str, length: int = 1024, per_shard: int = 8192, key: int = 0, path: str | None = None, waves: int = WAVES) -> DataFrame:
     """Writes shards of fixed-stride sequences in training order; slot, shard, byte_offset, sequence, n_tokens, sha1 of each.
 
     The documents' tokens, ends of documents included, are one stream in file order, cut
     into sequences of length tokens, the last filled with end-of-document ids. The keyed
     permutation gives each sequence its slot; shard k holds slots k * per_shard and on, each
-    at a multiple of 2 * length bytes, so a reader resumes at any slot by seeking. A shard's
-    task finds its sequences by the inverse permutation and reads them from the flat files;
-    what it writes depends on nothing else, so it can run again anywhere. The flat files stay
-    in the folder beside the shards; the caller may delete them.
+    at a multiple of 2 * length bytes, so a reader resumes at any slot by seeking. Flat files
+    are read forwards, the sequences are dealt to ranges of slots and sorted, and each range
+    writes its shards from first to last. That goes on for one part of the slots after the
+    other, waves of them, so that no more than that part of the tokens is in a shuffle at a
+    time; one wave reads the flat files once. What a task writes depends on nothing but
+    slots, so it can run again anywhere. The flat files stay in the folder beside the
+    shards; the caller may delete them. Null and empty texts are an end-of-document id;
+    repeated rows are written as often as they stand; long texts run over many sequences;
+    ids and other columns aren't read; an empty table writes and gives nothing.
     """
     spark = docs.sparkSession
     write(docs, f"{folder}/flat", path)
-    files = listing(f"{folder}/flat")
-    uris, sizes = [u for u, _ in files], np.array([n // WIDTH for _, n in files], dtype=np.int64)
-    begins = np.concatenate(([0], np.cumsum(sizes)))
-    total = int(begins[-1])
-    n = -(-total // length)
-    schema = "slot long, shard long, byte_offset long, sequence long, n_tokens long, sha1 string"
-    if not n:
-        return spark.createDataFrame([], schema)
-    order, stride = Permutation(n, key), length * WIDTH
-    shards = -(-n // per_shard)
+    total, table = chunks(spark, f"{folder}/flat", CHUNK * length)
+    if not total:
+        return spark.createDataFrame([], PLACED)
+    n, stride = -(-total // length), length * WIDTH
+    order, shards = Permutation(n, key), -(-n // per_shard)
+
+    def read(low: int, high: int):
+        """The sequences of slots from low to high, from whole chunks."""
+
+        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches(it, 1):
+                first = b.column(0)[0].as_py() * CHUNK
+                count = min(CHUNK, n - first)
+                buffer, at = np.full(count * length, EOD, dtype="<u2"), 0
+                for e in b.column(1)[0].as_py():
+                    with open_input(e["uri"]) as f:
+                        f.seek(e["from"] * WIDTH)
+                        buffer[at : at + e["n"]] = np.frombuffer(f.read(e["n"] * WIDTH), dtype="<u2")
+                    at += e["n"]
+                own = np.arange(first, first + count)
+                slots = order.slots(own)
+                wanted = np.flatnonzero((slots >= low) & (slots < high))
+                raw = np.ascontiguousarray(buffer.reshape(count, length)[wanted])
+                ids = pa.Array.from_buffers(pa.binary(), len(wanted), [None, pa.py_buffer(np.arange(0, (len(wanted) + 1) * stride, stride, dtype=np.int32)), pa.py_buffer(raw)])
+                used = np.clip(total - own[wanted] * length, 0, length)
+                yield pa.RecordBatch.from_arrays([pa.array(slots[wanted]), pa.array(own[wanted]), pa.array(used), ids], ["slot", "sequence", "n_tokens", "ids"])
+
+        return run
+
+    def put(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, out, rows = -1, None, []
+
+        def close() -> pa.RecordBatch:
+            out.__exit__(None)
+            slots, sequences, used = zip(*rows, strict=True)
+            with open_input(f"{folder}/shards/shard-{shard:06d}.bin") as back:  # what a sequential reader finds
+                sums = [hashlib.sha1(back.read(stride)).hexdigest() for _ in rows]
+            return pa.RecordBatch.from_arrays([pa.array(slots), pa.array([shard] * len(rows)), pa.array([(k % per_shard) * stride for k in slots]), pa.array(sequences), pa.array(used), pa.array(sums)], ["slot", "shard", "byte_offset", "sequence", "n_tokens", "sha1"])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            for shard in b.column(0).to_pylist():
-                slots = np.arange(shard * per_shard, min(n, (shard + 1) * per_shard))
-                seqs = order.sequences(slots)
-                buffer = np.full((len(slots), length), EOD, dtype="<u2")
-                used = np.zeros(len(slots), dtype=np.int64)
-                by_place = np.argsort(seqs)  # each file is opened once and read forwards
-                place, source = -1, None
-                for row in by_place.tolist():
-                    at, stop = int(seqs[row]) * length, min(total, (int(seqs[row]) + 1) * length)
-                    while at < stop:
-                        f = int(np.searchsorted(begins, at, side="right")) - 1
-                        if f != place:
-                            if source:
-                                source.close()
-                            source, place = open_input(uris[f]), f
-                        m = int(min(stop, begins[f + 1])) - at
-                        source.seek((at - int(begins[f])) * WIDTH)
-                        buffer[row, used[row] : used[row] + m] = np.frombuffer(source.read(m * WIDTH), dtype="<u2")
-                        used[row] += m
-                        at += m
-                if source:
-                    source.close()
-                uri = f"{folder}/shards/shard-{shard:06d}.bin"
-                open_output(uri, buffer.tobytes())
-                with open_input(uri) as back:  # what a sequential reader finds
-                    sums = [hashlib.sha1(back.read(stride)).hexdigest() for _ in slots]
-                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(slots), shard)), pa.array((slots - shard * per_shard) * stride), pa.array(seqs), pa.array(used), pa.array(sums)], ["slot", "shard", "byte_offset", "sequence", "n_tokens", "sha1"])
-
-    return cut(spark.range(0, shards, 1, min(shards, 10_000)).mapInArrow(run, schema))
+            for slot, sequence, used, ids in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if slot // per_shard != shard:
+                    if out:
+                        yield close()
+                    shard, rows = slot // per_shard, []
+                    out = open_output(f"{folder}/shards/shard-{shard:06d}.bin")
+                    stream = out.__enter__()
+                stream.write(ids)
+                rows.append((slot, sequence, used))
+        if out:
+            yield close()
+
+    # a session of its own, whose shuffles are deleted as soon as their query is done
+    side = spark.newSession()
+    side.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    source = side.read.schema(table.schema).parquet(*table.inputFiles())
+    placed, waves = scratch(spark, "placed"), max(1, min(waves, shards))
+    for w in range(waves):
+        low, high = shards * w // waves, shards * (w + 1) // waves
+        parts = min(PARTITIONS, high - low)
+        rows = source.repartition(min(PARTITIONS, -(-n // CHUNK)), "chunk").mapInArrow(read(low * per_shard, high * per_shard), SEQUENCE)
+        at = F.floor((F.floor(F.col("slot") / per_shard) - low) * parts / (high - low)).cast("int")
+        rows.repartitionById(parts, at).sortWithinPartitions("slot").mapInArrow(put, PLACED).write.mode("append").parquet(placed)
+    return spark.read.schema(PLACED).parquet(placed)
 
 
 def read_slots(folder: str, first: int, count: int, length: int = 1024, per_shard: int = 8192) -> Iterator[np.ndarray]:
