@@ -2,9 +2,9 @@
 
 Words and marks and their pairs are hashed into BUCKETS; two generative models are counted,
 one over all documents, one over a bounded sample of labelled good ones. A document's
-importance is the mean log ratio of its n-grams, times LENGTH; adding Gumbel noise keyed by
-its id and text and taking the largest k is sampling k documents without replacement in
-proportion to importance.
+importance is the log ratio of what the two models give its text, the sum over its n-grams;
+adding Gumbel noise keyed by its id and text and taking the largest k is sampling k documents
+without replacement in proportion to the ratio.
 """
 
 from __future__ import annotations
@@ -17,11 +17,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomgraph.llm.shared import batches, cut, held
+from loomgraph.operators.ranking import ranked
 
-BUCKETS, LENGTH, SMOOTH = 1 << 14, 100.0, 0.1
+BUCKETS, SMOOTH = 1 << 14, 0.1
 #: The target model is counted over at most so many labelled documents, those with the smallest hashes.
 TARGET_ROWS = 4000
 TOKENS = re.compile(r"\w+|[^\w\s]+").findall
@@ -79,7 +79,7 @@ def models(docs: DataFrame, target: list[int]) -> np.ndarray:
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
-    """doc_id, importance, key of every row. A text without n-grams has importance -LENGTH."""
+    """doc_id, importance, key of every row. A text without n-grams has importance 0: both models give it 1."""
     salt = str(seed).encode()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 0) -> DataFrame:
             weight, key = np.empty(len(ids)), np.empty(len(ids))
             for k, (i, t) in enumerate(zip(ids, texts, strict=True)):
                 f = features(t)
-                weight[k] = LENGTH * ratio[f].mean() if len(f) else -LENGTH
+                weight[k] = ratio[f].sum() if len(f) else 0.0
                 u = (xxhash.xxh64_intdigest(salt + b"\0" + str(i).encode() + b"\0" + (t or "").encode("utf-8", "replace")) + 0.5) / 2.0**64
                 key[k] = weight[k] - np.log(-np.log(min(max(u, 1e-18), 1 - 1e-16)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weight), pa.array(key)], ["doc_id", "importance", "key"])
@@ -123,14 +123,18 @@ def threshold(keys: DataFrame, k: int) -> float | None:
 
 
 def select(docs: DataFrame, labels: DataFrame, fraction: float | None = None, seed: int = 0) -> DataFrame:
-    """doc_id, importance, key, kept of every row: kept are the k rows with the largest keys, ties by doc_id.
-
-    k is the fraction of all rows, by default the share of good ones among labelled
-    documents (all, if there are no labels). Null text counts as empty; a null doc_id
-    isn't in the target. Repeated rows have equal keys and may tie.
+    """doc_id, importance, key, kept of every row: kept are the k rows with the largest keys.
+
+    k is the fraction of all rows, by default the share of good ones that aren't toxic among
+    labelled documents (all, if there are no labels). Null text counts as empty, a text of
+    any length whole; a null doc_id isn't in the target. Repeated rows have equal keys; of
+    rows with the k-th largest key those with the smallest doc_id are kept, null last, and
+    among rows that are equal it makes no difference which. Other columns are ignored; an
+    empty table gives none.
     """
     if fraction is None:
-        s = labels.agg(F.avg(F.when((F.col("quality") == 1), 1.0).otherwise(0.0)).alias("s")).first().s
+        good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
+        s = labels.agg(F.avg(F.when(good, 1.0).otherwise(0.0)).alias("s")).first().s
         fraction = 1.0 if s is None else s
     table = cut(weigh(docs, models(docs, sample(docs, labels)), seed))
     n = table.count()
@@ -142,5 +146,7 @@ def select(docs: DataFrame, labels: DataFrame, fraction: float | None = None, se
     tied = table.filter(F.col("key") == t)
     if tied.count() + more == k:
         return table.withColumn("kept", F.col("key") >= t)
-    first = tied.withColumn("n", F.row_number().over(Window.orderBy(F.col("doc_id").asc_nulls_last()))).withColumn("kept", F.col("n") <= k - more).drop("n")
+    # ties may be many and of one id: they are ranked by ranges of id and place
+    named = tied.withColumn("__null", F.col("doc_id").isNull()).withColumn("__at", F.monotonically_increasing_id())
+    first = ranked(named, ["__null", "doc_id", "__at"], "__n").select("doc_id", "importance", "key", (F.col("__n") < k - more).alias("kept"))
     return table.filter(F.col("key") != t).withColumn("kept", F.col("key") > t).unionByName(first)
