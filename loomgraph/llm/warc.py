@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import batches, cut, join_checked, listing, open_input, open_output, scratch
+from loomgraph.llm.shared import batches, cut, discard, join_checked, join_hot, listing, open_input, open_output, scratch
 
 SEGMENT, CHUNK, MIN_BYTES = 16 << 10, 4096, 0
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -100,7 +100,7 @@ def roles(pages: DataFrame, least: int = MIN_BYTES) -> DataFrame:
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), _payload().alias("b")).select("page_id", F.sha1("b").alias("sha"), F.octet_length("b").alias("n"))
     p = cut(p)
     first = p.filter(F.col("n") >= least).groupBy("sha").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("sha", "refers_to")
-    found = p.join(first, "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    found = join_hot(p, cut(first), "sha").filter(~F.col("page_id").eqNullSafe(F.col("refers_to")))
     return cut(found.select(_id().alias("id"), "sha", "refers_to").distinct())
 
 
@@ -260,14 +260,20 @@ def round_trip(pages: DataFrame, least: int = MIN_BYTES, segment: int = SEGMENT)
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each page, as the archives written give them back.
 
     A revisit takes the length of its payload from the response it refers to, whose digest
-    must be its own. An empty table writes and gives nothing.
+    must be its own. Null html is empty; pages of any length are written whole; repeated
+    rows and null page_ids are as in write; other columns are ignored. The archives are
+    deleted once they are read. An empty table writes and gives nothing.
     """
     folder = scratch(pages.sparkSession, "warc")
     write(pages, folder, least, segment)
     found = cut(records(pages.sparkSession, folder))
+    discard(pages.sparkSession, folder)
     responses = found.filter("kind = 'response'")
-    origin = responses.groupBy(F.col("record").alias("refers")).agg(F.min("page_id").alias("refers_to"), F.max("bytes").alias("known"), F.max("digest").alias("same"))
-    again = found.filter("kind = 'revisit'").join(origin, "refers", "left")
-    checked = F.when(F.col("same") == F.col("digest"), F.col("known")).otherwise(F.raise_error(F.concat(F.lit("revisit without its response: "), F.col("record"))).cast("long"))
-    a = responses.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    return a.unionByName(again.select("page_id", checked.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"))
+    origin = cut(responses.groupBy(F.col("record").alias("refers")).agg(F.min("page_id").alias("refers_to"), F.max("bytes").alias("known"), F.max("digest").alias("same")))
+    again = found.filter("kind = 'revisit'").select("page_id", "digest", "kind", "record", "refers")
+    # a payload that most pages share has one response, which its revisits meet by broadcast
+    checked = F.when(F.col("same") == F.col("digest"), F.col("known")).otherwise(F.raise_error(F.concat(F.lit("another payload than its response: "), F.col("record"))).cast("long"))
+    met = cut(join_hot(again, origin, "refers").select("page_id", checked.alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to"))
+    if met.count() != again.count():
+        raise WarcError("there are revisits without their response")
+    return responses.select("page_id", F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.lit(None).cast("long").alias("refers_to")).unionByName(met)
