@@ -262,10 +262,9 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], threshold: float = THRESH
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["seed", "n"])
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()  # a row for each seed of the block
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()  # two numbers for each seed of the block
     holders = np.zeros(len(index.codes), dtype=np.int64)
-    for r in counted:
-        holders[r.seed] = r.n
+    holders[counted.column("seed").to_numpy()] = counted.column("n").to_numpy()
     index.choose(holders)
     return index
 
@@ -277,8 +276,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """doc_id, item_id, score, first_word, end_word for each document and item it holds a copy of.
 
     Null or empty text holds nothing; items with null text, null id or no word match
-    nothing; repeated items count once, repeated documents as often as they stand. Other
-    columns are ignored.
+    nothing; repeated items count once, repeated documents as often as they stand. Of
+    several copies in a text the best counts, of equally good ones the first. Texts are
+    read whole, however long. Other columns are ignored. An empty table gives none.
     """
     out = None
     for items in blocks(benchmark):
@@ -297,7 +297,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, unchanged, that hold a copy of no item."""
+    """The rows of docs, unchanged, that hold a copy of no item.
+
+    Rows with null or empty text stay; repeated rows stay or go together; columns of any
+    name pass through; without items all stay. Each block of items is fitted on all rows,
+    and all blocks are matched in one pass.
+    """
     every = docs
     for items in blocks(benchmark):
         index = fit(every, items, threshold)
