@@ -295,16 +295,18 @@ def load(path: str, kind: int | None = None) -> Model:
 SCHEMA = "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean"
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids, round_trip of every row of docs.
+def encode(docs: DataFrame, path: str, kind: int | None = None) -> DataFrame:
+    """doc_id, n_tokens, token_ids, round_trip of every row of docs; kind reads the model's pieces as of another type than its own.
 
     round_trip: decoding gives the text again (not so where it holds the space sign U+2581
-    itself). Null text is empty: no ids. Other columns are ignored. The model file is one
-    that every executor has.
+    itself). Null text is empty: no ids. Texts of any length are encoded whole. Of
+    segmentations of equal score that with the longer last piece is taken. Repeated rows are
+    encoded as often as they stand, null ids are carried, other columns are ignored, and an
+    empty table gives none. The model file is one that every executor has.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(path)
+        model = load(path, kind)
         for b in batches(it, 1000):
             texts = b.column(1).to_pylist()
             ids = [model.encode(t) for t in texts]

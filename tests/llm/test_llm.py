@@ -508,6 +508,21 @@ def test_training_order(spark, docs):
         assert r.n_tokens == len(own) and (x[: len(own)] == own).all() and hashlib.sha1(x.tobytes()).hexdigest() == r.sha1
 
 
+def test_training_order_in_any_number_of_waves(spark, odd):
+    """Equal shards whatever the waves; null, empty, repeated and very long texts; sequences over several files."""
+    want = None
+    for waves in (1, 3):
+        folder = scratch(spark, "waves")
+        rows = tokenfiles.materialise(odd.repartition(3, "doc_id"), folder, length=128, per_shard=32, key=4, waves=waves).collect()
+        got = [(r.slot, r.shard, r.byte_offset, r.n_tokens) for r in sorted(rows, key=lambda r: r.slot)]
+        shards = [tokenfiles.open_input(u).read() for u, _ in tokenfiles.listing(f"{folder}/shards")]
+        assert got == [(k, k // 32, k % 32 * 256, got[k][3]) for k in range(len(rows))] and sum(map(len, shards)) == 256 * len(rows)
+        assert sum(r.n_tokens for r in rows) == sum(n // 2 for _, n in tokenfiles.listing(f"{folder}/flat"))
+        want = want or (got, [r.sha1 for r in sorted(rows, key=lambda r: r.slot)])
+        assert want == (got, [r.sha1 for r in sorted(rows, key=lambda r: r.slot)])
+    assert tokenfiles.materialise(empty(odd), scratch(spark, "waves")).count() == 0
+
+
 # 6
 def test_pieces(spark, docs, odd):
     import sentencepiece
@@ -536,6 +551,38 @@ def test_viterbi():
     assert model._viterbi(text) == best[len(text)][1]
 
 
+def test_unigram_model_over_whole_texts(spark, docs, odd):
+    """Read as a unigram model, the pieces of every whole text have the best sum of scores that search over all pieces finds."""
+    path = pieces.model_path()
+    model = pieces.load(path, pieces.UNIGRAM)
+    by_name = {}
+    for i in range(len(model.score)):
+        if model.decoded[i] and i not in model.of_byte and i != model.unknown:
+            by_name[model.decoded[i].replace(" ", "▁")] = model.score[i]
+    longest = max(map(len, by_name))
+    texts = {r.doc_id: r.text or "" for r in docs.filter("length(text) < 1500").limit(40).union(odd.filter("doc_id in (2, 3, 5, 6)").select(docs.columns[0], "text", *[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes[2:]])).collect()}
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in pieces.encode(table, path, pieces.UNIGRAM).collect()}
+    for i, t in texts.items():
+        line = ("▁" + t.replace(" ", "▁")) if t else ""
+        best = [0.0] + [-1e18] * len(line)
+        for e in range(1, len(line) + 1):
+            best[e] = best[e - 1] + model.least if line[e - 1] not in by_name else -1e18
+            for s in range(max(0, e - longest), e):
+                p = by_name.get(line[s:e])
+                if p is not None:
+                    best[e] = max(best[e], best[s] + p)
+        score, run = 0.0, b""
+        for k in got[i].token_ids:
+            if k in model.of_byte:
+                run += bytes([model.of_byte[k]])
+            else:
+                score += model.score[k]
+        score += model.least * len(run.decode("utf-8"))
+        assert score == pytest.approx(best[-1], abs=1e-6) and got[i].round_trip and got[i].n_tokens == len(got[i].token_ids)
+    assert pieces.encode(empty(odd), path).count() == 0
+
+
 # 7
 def test_warc(spark):
     rows = [(5, "http://a/ b", "x" * 50_000), (3, None, "x" * 50_000), (9, "u", None), (2, "u", ""), (7, "u", "é\r\n\r\n0\r\n"), (7, "u", "é\r\n\r\n0\r\n"), (None, "u", "é\r\n\r\n0\r\n"), (11, "u", "WARC/1.1\r\n" * 9000)]
@@ -564,6 +611,38 @@ def test_resample(spark, docs, odd):
     assert resample.select(empty(odd), labels).count() == 0
 
 
+def test_resampling_is_that_of_plain_python(spark, docs):
+    """Counts, log ratios, keys and the rows kept, with copies that tie at the threshold."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    own = [(r.doc_id, r.text) for r in docs.limit(120).collect()]
+    rows = own + [(None, "copy of one"), (9000, "copy of one"), (9000, "copy of one"), (9001, None), (9002, "!!! ?")] + [(9000, "copy of one")] * 6
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    wrap = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+
+    def buckets(t):
+        h = [xxhash.xxh64_intdigest(w) & 0x7FFFFFFFFFFF for w in re.findall(r"\w+|[^\w\s]+", (t or "").lower())]
+        pairs = [wrap(wrap(a * 0x9E3779B1) + wrap(b * 0x85EBCA6B)) >> 13 for a, b in zip(h, h[1:], strict=False)]
+        return [x & (resample.BUCKETS - 1) for x in h + pairs]
+
+    every, target = Counter(), Counter()
+    for i, t in rows:
+        every.update(buckets(t))
+        target.update(buckets(t) if i in good else ())
+    share = lambda c, b: (c[b] + resample.SMOOTH) / (sum(c.values()) + resample.SMOOTH * resample.BUCKETS)
+    ratio = {b: np.log(share(target, b) / share(every, b)) for b in every}
+    want = []
+    for i, t in rows:
+        weight = sum(ratio[b] for b in buckets(t))
+        u = (xxhash.xxh64_intdigest(f"3\0{i}\0{t or ''}".encode()) + 0.5) / 2.0**64
+        want.append((-1 if i is None else i, weight, weight - np.log(-np.log(u))))
+    keys = sorted((k for _, _, k in want), reverse=True)
+    tied = next(k for i, _, k in want if i == 9000)
+    for count in (40, sum(k > tied for k in keys) + 3):  # the second cuts eight equal rows
+        got = resample.select(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), labels, count / len(rows), seed=3).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, round(r.importance, 6), round(r.key, 6)) for r in got) == sorted((i, round(float(w), 6), round(float(k), 6)) for i, w, k in want)
+        assert sorted((r.key for r in got if r.kept), reverse=True) == pytest.approx(keys[:count])
+
+
 # 9
 def plain_print(text):
     w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
