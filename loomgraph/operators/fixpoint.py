@@ -22,7 +22,7 @@ from loomgraph.functions.terms import RDF_TYPE
 from loomgraph.operators.store import ANY, COLUMNS, TripleStore
 from loomgraph.plans.compiler import plan
 from loomgraph.plans.ir import Atom, Program, Rule, Var
-from loomgraph.session import cut
+from loomgraph.session import cut, forget
 
 Key = tuple[str, int]
 Sizes = dict[Key, int]
@@ -145,7 +145,10 @@ def _close(out: Result, t: str, e: str, side: str, max_rounds: int) -> DataFrame
             _rounds([Rule(Atom(t, (x, y)), (Atom(t, (x, z)), Atom(e, (z, y))))], [key], full, {key: new}, out.scan, max_rounds - number, out.rounds, began, start=number)
             pieces = full[key]
             break
-        exact = cut(_steps(exact, exact).distinct())
+        longer = cut(_steps(exact, exact).distinct())
+        if number > 1:  # the first are the edges, which are pieces of the result
+            forget(exact)
+        exact = longer
     closed = _union(pieces)
     own = cut(out.base.relation(t))
     if own.isEmpty():
@@ -238,7 +241,9 @@ def _rounds(rules: list[Rule], group: list[Key], full: dict[Key, list[DataFrame]
             full[k].append(df)
             totals[k] = None if totals[k] is None else totals[k] + counts[k]
             if len(full[k]) > MOST_PIECES:
-                full[k][1:] = [cut(_union(full[k][1:]))]
+                old = full[k][1:]
+                full[k][1:] = [cut(_union(old))]
+                forget(*[p for p in old if p is not df])  # the next round reads df
         if not delta:
             return
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
@@ -250,10 +255,12 @@ def unknown(new: DataFrame, known: DataFrame, size: int | None, expected: int =
     Where new is far smaller, it is written first and joins are built from it: the known are
     read, but not shuffled.
     """
-    if size is None or size > 8 * expected:
-        new = cut(new)
-        known = known.join(new, new.columns, "left_semi")
-    return cut(new.join(known, new.columns, "left_anti"))
+    if size is not None and size <= 8 * expected:
+        return cut(new.join(known, new.columns, "left_anti"))
+    new = cut(new)
+    out = cut(new.join(known.join(new, new.columns, "left_semi"), new.columns, "left_anti"))
+    forget(new)
+    return out
 
 
 def _extend(base: TripleStore, program: Program, max_rounds: int, new_facts: TripleStore, known: Result) -> Result:

@@ -17,6 +17,7 @@ from loomgraph.plans.ir import Atom, Program, Rule, Var
 from loomgraph.plans.parser import parse_program, read_program
 from loomgraph.session import scratch
 from loomgraph.sources import tables, text, triplify
+from loomgraph.sources.turtle import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -438,6 +439,17 @@ def turtle_two_files(spark, sf_dir):
     return text.read_turtle(spark, f"{path}/*")
 
 
+@query("""SELECT 'http://example.org/nation/' || n_nationkey AS s, 'http://example.org/inRegion' AS p, 'http://example.org/region/' || n_regionkey AS o FROM nation
+UNION ALL SELECT 'http://example.org/nation/' || n_nationkey, 'http://example.org/name', '"' || n_name || '"' FROM nation
+UNION ALL SELECT 'http://example.org/nation/' || n_nationkey, 'http://example.org/key', '"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>' FROM nation""")
+def turtle_documents(spark, sf_dir):
+    """A document for each nation, with a base, a list of properties over lines, and a number."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    key = F.col("n_nationkey").cast("string")
+    lines = F.concat_ws("\n", F.lit("@base <http://example.org/> ."), F.concat(F.lit("<nation/"), key, F.lit("> <inRegion> <region/"), F.col("n_regionkey").cast("string"), F.lit("> ;")), F.concat(F.lit(' <name> "'), "n_name", F.lit('" ; <key> '), key, F.lit(" .")))
+    return documents(n.select(triplify.node("nation", "n_nationkey").alias("path"), lines.alias("value")))
+
+
 @query(f"WITH {GEO} SELECT s, p, o FROM geo")
 def csv_file(spark, sf_dir):
     path = scratch(spark, "csv")

@@ -40,7 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of frames that cut returned, once nothing that is still to run reads them."""
+    for df in frames:
+        discard(df.sparkSession, df._cut_at)
 
 
 def discard(spark: SparkSession, uri: str) -> None:

@@ -257,6 +257,30 @@ def test_files(spark, tmp_path):
     assert reason(TripleStore(both), read_program(str(tmp_path / "r.dl"))).relation("http://h.example/q").count() == 3
 
 
+def test_turtle_documents(spark, tmp_path):
+    from loomgraph.sources.turtle import TurtleError, parse, read_turtle_documents
+
+    x, integer = "http://www.w3.org/2001/XMLSchema#", "integer"
+    (tmp_path / "a.ttl").write_text("""@prefix e: <http://e/> . @base <http://b/c/> .
+# one subject, many properties
+e:a a e:T ; e:p "x"@en, 'y', 5 , -1.5, 1e3, true ;
+   e:q [ e:r e:s ; e:t \"\"\"long "q"
+line\"\"\" ] .
+<rel> e:list ( e:a "b" ) . [] e:p _:k .""")
+    (tmp_path / "b.ttl").write_text("PREFIX e: <http://f/>\ne:a e:p _:k .")
+    rows = read_turtle_documents(spark, str(tmp_path / "*.ttl")).collect()
+    own = {(r.p, r.o) for r in rows if r.s == "http://e/a"}
+    inner = next(o for p, o in own if p == "http://e/q")
+    assert own == {(RDF_TYPE, "http://e/T"), ("http://e/q", inner), *[("http://e/p", o) for o in ('"x"@en', '"y"', f'"5"^^<{x}{integer}>', f'"-1.5"^^<{x}decimal>', f'"1e3"^^<{x}double>', f'"true"^^<{x}boolean>')]}
+    assert {(r.p, r.o) for r in rows if r.s == inner} == {("http://e/r", "http://e/s"), ("http://e/t", '"long \\"q\\"\\nline"')}
+    head = next(r.o for r in rows if r.s == "http://b/c/rel")
+    assert sorted(r.o for r in rows if r.s == head and r.p.endswith("first")) == ["http://e/a"]
+    assert len({r.o for r in rows if r.o.endswith("k")}) == 2  # a blank node's name holds in its file
+    for bad in ("e:a e:b e:c .", "<a> <b> .", "<a> <b> <c>", "<a> <b> ( <c> .", "<a> <b> <c> ."[:-2] + " <d> ."):
+        with pytest.raises(TurtleError, match="line 1"):
+            parse(bad)
+
+
 def test_store_on_disk(spark, tmp_path):
     rows = [("a", "", "c"), ("a", "p/ x=1", "c"), ("b", "long" * 100, "d"), ("b", "long" * 100 + "er", "d"), ("a", "__HIVE_DEFAULT_PARTITION__", "z")]
     TripleStore.of(spark, rows).write(str(tmp_path / "s"))
