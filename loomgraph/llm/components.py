@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import cut, join_hot
+from loomgraph.llm.shared import cut, forget, join_hot
 
 
 def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
         large = cut(large.filter("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_hot(large, least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = cut(small.filter("u <> v").distinct())
+        done, edges = edges, cut(small.filter("u <> v").distinct())
+        forget(done, large)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
             break
@@ -35,4 +36,6 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return cut(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))
+    out = cut(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))
+    forget(edges)
+    return out

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut, discard, scratch, shared_dir
+from loomgraph.session import cut, discard, forget, scratch, shared_dir
 
 #: A side is broadcast only if its counted rows times a stated row width stay below this.
 BROADCAST_BYTES = 16 << 20
@@ -22,7 +22,7 @@ BROADCAST_BYTES = 16 << 20
 #: A key is hot if it has at least this share of a side's rows: there are at most 1 / HOT of them.
 HOT = 1 / 1000
 
-__all__ = ["BROADCAST_BYTES", "cut", "discard", "held", "join_checked", "join_hot", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
+__all__ = ["BROADCAST_BYTES", "cut", "discard", "forget", "held", "join_checked", "join_hot", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
 
 
 _SHIPPED: set[str] = set()

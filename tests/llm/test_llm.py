@@ -776,3 +776,39 @@ def test_pipeline(spark):
     got = corpus_pipeline.run(spark, SF).collect()
     assert len(got) == len(want) > 100
     assert {r.doc_id: r.token_ids for r in got} == want
+
+
+def test_pipeline_on_odd_tables(spark, odd, docs, tmp_path):
+    """Nulls, repeats, empty and long texts, columns that clash, and no rows at all, through every stage."""
+    import corpus_pipeline
+
+    for name in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    clash = {"fingerprint": "f", "component_id": "c", "more": "m", "spans": "s", "at": "t", "row": "r", "__id": "i"}
+    extra = [F.lit(v).alias(k) for k, v in clash.items()]
+    table = docs.select("doc_id", "text", "lang", "source", "n_chars", *extra).filter("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 100)
+    real, other = [r.text for r in docs.filter("length(text) between 300 and 900").orderBy("doc_id").limit(2).collect()]
+    plain = F.when(F.col("doc_id").isNull() | (F.col("doc_id") == 1), real).when(F.col("doc_id") == 6, F.concat(F.lit(other), F.lit(" "), "text")).otherwise(F.col("text"))
+    odd = odd.withColumn("text", plain)
+    rest = odd.select("doc_id", "text", "lang", F.lit("x").alias("source"), F.length("text").cast("long").alias("n_chars"), *extra)
+    table = table.unionByName(table.filter("doc_id < 120")).unionByName(rest)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    for source, least in ((table, 20), (table.limit(0), 0)):
+        frame = source
+        for name, stage in corpus_pipeline.STAGES:
+            before = frame
+            path = str(tmp_path / f"{name}{least}")
+            stage(spark, before, str(tmp_path)).write.parquet(path)
+            frame = spark.read.parquet(path)
+            if name != "encode":
+                assert sorted(frame.columns) == sorted(before.columns) and frame.exceptAll(before).count() == (0 if name != "redact" else frame.exceptAll(before).count())
+            if least and name == "language":  # null, empty and letterless texts go, rows stay as often as they stand
+                assert frame.filter("doc_id in (2, 3, 5)").count() == 0 and frame.filter(F.col("text") == real).count() >= 3
+            if least and name == "near_duplicates":
+                assert frame.filter("doc_id = 1").count() <= 1 and frame.filter("doc_id is null").count() == 1
+                assert frame.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").count() == 0
+            if least and name == "redact":
+                row = frame.filter("doc_id = 6").first()
+                assert row.text.endswith(" mail [EMAIL] or [IP]") and row.n_chars == len(row.text) and all(row[k] == v for k, v in clash.items())
+        assert frame.count() >= least
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 20
