@@ -106,13 +106,12 @@ class Fit:
     def posteriors(self, votes: list[Column]) -> Column:
         """Array of P(kind | votes)."""
 
-        def evidence(share: float, bad: list[float]) -> Column:
-            out = F.lit(log(share))
-            for v, b in zip(votes, bad, strict=True):
-                out = out + F.when(v < 0, log(b)).when(v > 0, log(1 - b)).otherwise(0.0)
-            return out
-
-        logs = F.array(*[evidence(s, b) for s, b in zip(self.share, self.bad, strict=True)])
+        numbers = lambda xs: f"array({', '.join(f'{x:.17g}D' for x in xs)})"
+        kind = lambda share, bad: f"named_struct('share', {log(share):.17g}D, 'bad', {numbers(map(log, bad))}, 'good', {numbers(log(1 - b) for b in bad)})"
+        table = F.expr(f"array({', '.join(map(kind, self.share, self.bad))})")
+        places = F.sequence(F.lit(0), F.lit(len(votes) - 1))
+        said = lambda k, v, i: F.when(F.get(v, i) < 0, F.get(k["bad"], i)).when(F.get(v, i) > 0, F.get(k["good"], i)).otherwise(0.0)
+        logs = let(F.array(*votes), lambda v: F.transform(table, lambda k: F.aggregate(places, k["share"], lambda a, i: a + said(k, v, i))))
         scaled = let(logs, lambda x: let(F.array_max(x), lambda m: F.transform(x, lambda y: F.exp(y - m))))
         return let(scaled, lambda x: let(F.aggregate(x, F.lit(0.0), lambda a, y: a + y), lambda t: F.transform(x, lambda y: y / t)))
 
