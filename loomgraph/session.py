@@ -32,13 +32,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: A file is written for so many rows at least where their number is known.
+FILE_ROWS = 250_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df written once as Parquet to the shared folder and read back.
 
     Later plans start from files: lost executors cost nothing, unused columns aren't read,
-    and Catalyst knows the sizes.
+    and Catalyst knows the sizes. rows: at most so many, narrow ones, go into df's last
+    stage, which then has no more tasks and files than they need.
     """
     path = scratch(df.sparkSession, "cut")
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_at = path
