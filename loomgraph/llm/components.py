@@ -19,23 +19,23 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     links count once, null nodes aren't linked, and an empty table gives an empty table.
     """
     edges = cut(links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    before, n = None, edges.count()
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = join_hot(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.filter("u <> v").distinct())
+        large = cut(large.filter("u <> v").distinct(), 2 * n)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = join_hot(large, least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        done, edges = edges, cut(small.filter("u <> v").distinct())
+        done, edges = edges, cut(small.filter("u <> v").distinct(), 2 * n)
         forget(done, large)
         state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == state:
             break
-        before = state
+        before, n = state, state.n
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    out = cut(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots))
+    out = cut(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots), 2 * n)
     forget(edges)
     return out

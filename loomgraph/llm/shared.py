@@ -21,6 +21,8 @@ BROADCAST_BYTES = 16 << 20
 
 #: A key is hot if it has at least this share of a side's rows: there are at most 1 / HOT of them.
 HOT = 1 / 1000
+#: No key is hot where a side has no more rows than one task may well take.
+COLD = 20_000
 
 __all__ = ["BROADCAST_BYTES", "cut", "discard", "forget", "held", "join_checked", "join_hot", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
 
@@ -70,11 +72,13 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, share: float = HOT) ->
     Rows of hot keys stay where they are and meet the few rows of right that they need by
     broadcast, so that no task gets all rows of a key. The others are shuffled.
     """
-    least = max(1000, int(left.count() * share))
-    hot = cut(left.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= least).select(on))  # at most 1 / share rows
+    n = left.count()
+    if n <= COLD:
+        return left.join(right, on)
+    hot = cut(left.groupBy(on).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= max(1000, int(n * share))).select(on), n)  # at most 1 / share rows
     if hot.isEmpty():
         return left.join(right, on)
-    few = cut(right.join(F.broadcast(hot), on, "left_semi"))
+    few = cut(right.join(F.broadcast(hot), on, "left_semi"), 0)
     return left.join(F.broadcast(few), on).unionByName(left.join(F.broadcast(hot), on, "left_anti").join(right, on))
 
 

@@ -203,7 +203,8 @@ def roots(fps: DataFrame, distance: int, by: Plan | None = None, crowd: int = CR
     """
     by = by or plan(fps, distance)
     home, probe = _sides(fps, by)
-    crowded = cut(home.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).filter(F.col("n") > crowd))
+    n = fps.count()
+    crowded = cut(home.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).filter(F.col("n") > crowd), len(by.parts) * n)
     pairs = lambda joined: joined.filter((F.col("a") != F.col("b")) & _near(distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if crowded.isEmpty():
         return components(cut(pairs(home.join(probe, ["part", "value"])).distinct()))
@@ -218,7 +219,7 @@ def roots(fps: DataFrame, distance: int, by: Plan | None = None, crowd: int = CR
     own = lambda df, c, r: df.join(known.select(F.col("node").alias(c), F.col("root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
     busy_home, busy_probe = cut(own(busy_home, "a", "ra")), cut(own(busy_probe, "b", "rb"))
     sizes = busy_home.groupBy("part", "value", "ra").agg(F.count(F.lit(1)).alias("n"))
-    largest = cut(sizes.groupBy("part", "value").agg(F.max_by("ra", F.struct("n", "ra")).alias("main")))
+    largest = cut(sizes.groupBy("part", "value").agg(F.max_by("ra", F.struct("n", "ra")).alias("main")), len(by.parts) * n)
     inner = lambda df: join_checked(df, largest, ["part", "value"], "inner", width)
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = lambda df, c: df.withColumn("salt", F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int"))
@@ -239,10 +240,11 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     table gives none.
     """
     table = cut(fingerprints(docs))
-    nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    moved = cut(nodes.join(roots(nodes.select("fp"), distance).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = cut(moved.groupBy("root").agg(F.min("first").alias("component_id")))
-    ids = cut(join_hot(moved, least, "root").select("fp", "component_id"))
+    n = table.count()
+    nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first")), n)
+    moved = cut(nodes.join(roots(nodes.select("fp"), distance).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), 2 * n)
+    least = cut(moved.groupBy("root").agg(F.min("first").alias("component_id")), n)
+    ids = cut(join_hot(moved, least, "root").select("fp", "component_id"), 2 * n)
     return join_hot(table, ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
