@@ -25,6 +25,8 @@ CHUNK, LANES = 2048, 4096
 #: A language's most frequent symbols have columns in its table; transitions by others are looked up.
 COLUMNS = 255
 UNKNOWN = "und"
+#: A text is rejected whose phrases cost so many times its letters one by one.
+SLACK = 1.25
 
 
 def symbols() -> np.ndarray:
@@ -143,13 +145,13 @@ class Model:
         self.bits = np.array([np.log2(max(2, len(parts[k]))) for k in self.langs])
         self.letter_bits = np.array([np.log2(max(2, len(np.unique(parts[k])))) for k in self.langs])
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+    def predict(self, texts: list[str | None], slack: float = 1.0) -> tuple[list[str], list[float], list[bool]]:
         """Language, score and told of each text.
 
         und and 0 where text is null, has no letter, or nothing was learned; score is the
         runner-up's share of both costs, 1 for a single language; of equal costs the first
-        language by name wins. told: the phrases beyond the first cost less than the text's
-        letters one by one, as they don't in text of no language that was learned.
+        language by name wins. told: the phrases beyond the first cost less than slack times
+        the text's letters one by one, as they don't in text of no language that was learned.
         """
         seqs = [letters(t) if t else np.zeros(0, np.uint32) for t in texts]
         usable = [bool(self.langs) and bool(s.any()) for s in seqs]
@@ -184,7 +186,7 @@ class Model:
             names.append(self.langs[best])
             rest = np.delete(c, best)
             scores.append(float(rest.min() / (rest.min() + c[best])) if len(rest) else 1.0)
-            told.append(bool(c[best] - self.bits[best] < len(seqs[i]) * self.letter_bits[best]))
+            told.append(bool(c[best] - self.bits[best] < slack * len(seqs[i]) * self.letter_bits[best]))
         return names, scores, told
 
 
@@ -246,15 +248,15 @@ def keep_identified(docs: DataFrame, texts: dict[str, str], least: float = 0.0)
     """The rows of docs, unchanged, whose language is told with at least that score.
 
     Rejected are texts that are null or without a letter, and those that the best language's
-    phrases don't explain better than its letters one by one do: text of no language that
-    was learned. Repeated rows and rows without an id are judged like others. Columns of any
+    phrases explain so much worse than its letters one by one would (SLACK): text of no
+    language that was learned. Repeated rows and rows without an id are judged like others. Columns of any
     name pass through. If nothing was learned, no row is kept.
     """
     key = tuple(sorted(texts.items()))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it, 2000):
-            names, scores, told = _model(key).predict(b.column(b.schema.get_field_index("text")).to_pylist())
+            names, scores, told = _model(key).predict(b.column(b.schema.get_field_index("text")).to_pylist(), SLACK)
             keep = pa.array([n != UNKNOWN and t and s >= least for n, s, t in zip(names, scores, told, strict=True)], pa.bool_())
             yield b.filter(keep)
 
