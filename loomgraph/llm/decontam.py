@@ -23,10 +23,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.shared import batches, held
+from loomgraph.llm.shared import BROADCAST_BYTES, batches, cut, held
 
 #: Words of a seed are at most NEAR apart: a step over more words costs as much as a match gives.
 NEAR, MATCH, MISMATCH, GAP = 2, 2, -1, -1
@@ -270,48 +270,58 @@ def fit(docs: DataFrame, items: list[tuple[int, str]], threshold: float = THRESH
 
 
 SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long"
+#: Rows of one key are dealt to so many tasks where the keys are too many to be broadcast.
+SALTS = 16
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, item_id, score, first_word, end_word for each document and item it holds a copy of.
-
-    Null or empty text holds nothing; items with null text, null id or no word match
-    nothing; repeated items count once, repeated documents as often as they stand. Of
-    several copies in a text the best counts, of equally good ones the first. Texts are
-    read whole, however long. Other columns are ignored. An empty table gives none.
-    """
+def _matched(docs: DataFrame, benchmark: DataFrame, threshold: float, named: list[Column]) -> DataFrame:
+    """The named columns, item_id, score, first_word and end_word of the rows of docs that hold an item; a block of items after the other."""
+    source = docs.select(F.struct(*named).alias("own"), F.col("text").cast("string").alias("text"))
+    rest = "item_id long, score double, first_word long, end_word long"
+    schema = f"own {source.schema['own'].dataType.simpleString()}, {rest}"
     out = None
     for items in blocks(benchmark):
         index = fit(docs, items, threshold)
 
         def run(it: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for b in batches(it, ROWS):
-                ids = b.column(0).to_pylist()
-                rows = [(ids[d], *m) for d, *m in index.matches(b.column(1).to_pylist())]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "item_id", "score", "first_word", "end_word"])
+                found = index.matches(b.column(1).to_pylist())
+                if found:
+                    which, *more = zip(*found, strict=True)
+                    kinds = (pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which)), *[pa.array(c, k) for c, k in zip(more, kinds, strict=True)]], ["own", "item_id", "score", "first_word", "end_word"])
 
-        part = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+        part = source.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+    return (out if out is not None else docs.sparkSession.createDataFrame([], schema)).select("own.*", "item_id", "score", "first_word", "end_word")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, item_id, score, first_word, end_word for each document and item it holds a copy of.
+
+    Null or empty text holds nothing; items with null text, null id or no word match
+    nothing; repeated items count once, repeated documents as often as they stand. Of
+    several copies in a text the best counts, of equally good ones the first. Texts are
+    read whole, however long. Other columns are ignored. An empty table gives none.
+    """
+    return _matched(docs, benchmark, threshold, [F.col("doc_id").cast("long").alias("doc_id")])
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs, unchanged, that hold a copy of no item.
 
     Rows with null or empty text stay; repeated rows stay or go together; columns of any
-    name pass through; without items all stay. Each block of items is fitted on all rows,
-    and all blocks are matched in one pass.
+    name pass through; without items all stay. Each block of items is fitted on and matched
+    with all rows, in passes of their own, so that a task never holds more than one block;
+    what a text holds is brought to its rows by two hashes of the text.
     """
-    every = docs
-    for items in blocks(benchmark):
-        index = fit(every, items, threshold)
-
-        def run(it: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for b in batches(it, ROWS):
-                keep = np.ones(b.num_rows, dtype=bool)
-                keep[[m[0] for m in index.matches(b.column(b.schema.get_field_index("text")).to_pylist())]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")]
+    found = cut(_matched(docs, benchmark, threshold, key).select("h1", "h2").distinct())
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *key)
+    if found.count() * 32 <= BROADCAST_BYTES:
+        kept = whole.join(F.broadcast(found), ["h1", "h2"], "left_anti")
+    else:
+        dealt = whole.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        kept = dealt.join(found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h1", "h2", "salt"], "left_anti")
+    return kept.select("row.*")

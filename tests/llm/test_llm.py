@@ -367,6 +367,17 @@ def test_seeds_miss_no_alignment(spark, docs, monkeypatch):
     assert sorted(r.doc_id for r in decontam.keep_clean(table, both).collect()) == sorted(set(texts) - {d for d, _ in want})
 
 
+def test_clean_rows_without_a_broadcast(spark, docs, odd, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    table = docs.select("doc_id", "text", F.lit("r").alias("row"), F.lit(1).alias("h1"), F.lit("s").alias("salt"))
+    table = table.union(table).union(odd.select("doc_id", "text", F.lit("r"), F.lit(1), F.lit("s")))
+    want = sorted(map(repr, decontam.keep_clean(table, bench).collect()))
+    held = {r.doc_id for r in decontam.contaminated(docs, bench).collect()}
+    assert len(want) == 2 * (docs.count() - len(held)) + len(ODD) and held
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", 0)
+    assert sorted(map(repr, decontam.keep_clean(table, bench).collect())) == want
+
+
 def test_blocks_are_fitted_on_all_rows(spark, docs, monkeypatch):
     rows, fit = [], decontam.fit
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -726,6 +737,21 @@ def test_hub_of_many_links(spark):
     assert got == {i: 0 for i in range(5001)} | {i: 9000 for i in range(9000, 9031)}
 
 
+def test_hot_keys_meet_by_broadcast(spark, monkeypatch):
+    """The same rows whether keys are hot, and joined by broadcast, or not."""
+    from loomgraph.llm.shared import cut, join_hot
+
+    left = cut(spark.range(9000).selectExpr("IF(id % 3 = 0, 7, id) AS k", "id AS x").union(spark.range(2000).selectExpr("8L AS k", "id AS x")))
+    right = cut(spark.range(8000).selectExpr("id AS k", "id * 2 AS y"))
+    want = left.join(right, "k")
+    for cold in (20_000, 10):
+        monkeypatch.setattr("loomgraph.llm.shared.COLD", cold)
+        got = join_hot(left, right, "k")
+        assert got.count() == want.count() and got.exceptAll(want).count() == 0
+        edges = spark.range(5000).selectExpr("id + 1 AS a", "0L AS b").union(spark.range(30).selectExpr("id + 9000 AS a", "id + 9001 AS b"))
+        assert {r.node: r.root for r in components(edges).collect()} == {i: 0 for i in range(5001)} | {i: 9000 for i in range(9000, 9031)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
