@@ -44,13 +44,15 @@ class Round:
 class Result:
     """relations: the derived predicates, base facts included; store: base and derived as one set of triples.
 
-    fresh, after an extension: the triples that weren't known before it, the new facts among them.
+    fresh, after an extension: the triples that weren't known before it, the new facts among
+    them. base_is_set: no triple of the base stands twice, so its relations need no shuffle.
     """
 
     base: TripleStore
     relations: dict[Key, DataFrame]
     rounds: list[Round] = field(default_factory=list)
     fresh: DataFrame | None = None
+    base_is_set: bool = False
 
     def scan(self, key: Key) -> DataFrame:
         """The relation as rules read it: rows of the base may repeat."""
@@ -68,7 +70,7 @@ class Result:
 
     def relation(self, predicate: str, arity: int = 2) -> DataFrame:
         key = (predicate, arity)
-        return self.relations[key] if key in self.relations else self.scan(key).distinct()
+        return self.scan(key) if key in self.relations or self.base_is_set else self.scan(key).distinct()
 
     @property
     def derived(self) -> DataFrame:

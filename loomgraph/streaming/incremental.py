@@ -23,7 +23,7 @@ def maintain(stream: DataFrame, program: Program, path: str, checkpoint: str) ->
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         known = _read(spark, path, number)
-        out = reason(known, program, new_facts=TripleStore(batch), known=Result(known, {}))
+        out = reason(known, program, new_facts=TripleStore(batch), known=Result(known, {}, base_is_set=True))
         out.fresh.write.mode("overwrite").parquet(f"{path}/v={number:09d}")
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

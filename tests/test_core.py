@@ -148,6 +148,14 @@ def test_closures_with_facts_of_their_own(spark, side, shape):
     assert set(got(more.fresh)) == naive(edges | own, rules) - naive(edges, rules)
 
 
+def test_extension_reads_a_closed_set_without_a_shuffle(spark):
+    from loomgraph.operators.fixpoint import Result
+
+    s = TripleStore.of(spark, [("a", "t", "b")])
+    plan = lambda r: r.relation("t")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan(Result(s, {})) and "Aggregate" not in plan(Result(s, {}, base_is_set=True))
+
+
 def test_unsound_doubling_is_gone(spark):
     s = TripleStore.of(spark, [("a", "t", "b"), ("b", "t", "c"), ("x", "e", "y")])
     r = reason(s, parse_program("t(?x, ?y) :- e(?x, ?y).\nt(?x, ?z) :- t(?x, ?y), e(?y, ?z)."))
