@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.columns import cutter, let, scan
-from loomgraph.llm.shared import cut, join_checked, join_hot
+from loomgraph.llm.shared import BROADCAST_BYTES, cut, join_checked, join_hot
 
 KINDS = ("email", "ip", "card", "phone", "context")
 #: The same matches as the patterns of the contract. A run is entered at its first
@@ -189,8 +189,10 @@ def _places(docs: DataFrame, useful: DataFrame) -> DataFrame:
         return F.concat(ws, bare)
 
     each = docs.select(F.explode(let(words, contexts)).alias("context")).select(named(F.col("context")).alias("context"))
-    wanted = cut(useful)
-    return cut(join_checked(each, wanted, ["context"], "left_semi", 2 * LONG).groupBy("context").agg(F.count(F.lit(1)).alias("places")))
+    wanted, count = cut(useful), F.count(F.lit(1)).alias("places")
+    if wanted.count() * 2 * LONG <= BROADCAST_BYTES:
+        return cut(each.join(F.broadcast(wanted), "context", "left_semi").groupBy("context").agg(count))
+    return cut(each.groupBy("context").agg(count).join(wanted, "context", "left_semi"))  # words are counted where they stand before any is shuffled
 
 
 def patterns(docs: DataFrame, table: DataFrame, rounds: int = ROUNDS, confidence: float = LEAST_CONFIDENCE, seeds: int = LEAST_SEEDS) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +235,7 @@ def discovered(docs: DataFrame, table: DataFrame, **options) -> DataFrame:
     _, trusted = patterns(docs, table, **options)
     each = table.filter(F.size("found") > 0).select("uid", "doc_id", "key", F.explode("found").alias("x")).withColumn("value", named(F.lower("x.value")))
     marks = cut(trusted.select("value"))
-    small = marks.count() * 2 * LONG <= 16 << 20
+    small = marks.count() * 2 * LONG <= BROADCAST_BYTES
     good = each.join(F.broadcast(marks), "value", "left_semi") if small else join_hot(cut(each), marks, "value")
     span = F.struct(F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.lit(4).alias("kind"), F.col("x.value").alias("value"))
     return cut(good.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.collect_list(span).alias("more")))
