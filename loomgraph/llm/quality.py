@@ -132,7 +132,7 @@ def fit(votes: DataFrame, kinds: dict[str, int], rounds: int = ROUNDS, close: fl
         rows = table.select("n", *names, F.posexplode(out.posteriors(cols)).alias("kind", "p"))
         mass = F.col("n") * F.col("p")
         sums = [F.sum(mass).alias("all"), *[F.sum(F.when(c < 0, mass).otherwise(0.0)).alias(f"bad{i}") for i, c in enumerate(cols)], *[F.sum(F.when(c > 0, mass).otherwise(0.0)).alias(f"good{i}") for i, c in enumerate(cols)]]
-        found = rows.groupBy("kind").agg(*sums).orderBy("kind").collect()  # a row for each kind
+        found = sorted(rows.groupBy("kind").agg(*sums).collect(), key=lambda r: r.kind)  # a row for each kind
         if not found:
             break
         total, before = sum(r["all"] for r in found), out.share
