@@ -43,9 +43,19 @@ def held(key, build):
     return _HELD[key]
 
 
+#: Rows that go to a Python worker at once: with texts of 100 kB, Spark's own 10,000 would be a gigabyte.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS, SPARKS_OWN = 1000, "10000"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once for each application: they may not have the repository on their path."""
+    """Give executors this package, once for each application: they may not have the repository on their path.
+
+    Batches for Python workers are made smaller, unless the session has a size of its own.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH, SPARKS_OWN) == SPARKS_OWN:
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[2]
