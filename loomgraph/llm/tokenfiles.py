@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,6 +28,8 @@ REMEMBERED = 400_000
 #: How the vocabulary's byte-level BPE parts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+SPACED = re.compile(r" \s").search
+
 
 class Tokenizer(dict):
     """Texts to ids as bytes. Text is parted before single spaces, where no token goes across, and each part is encoded once."""
@@ -52,10 +55,10 @@ class Tokenizer(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        first, *rest = text.split(" ")
-        if "" in rest or not first or any(p[0] in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0  　" for p in rest):
+        if text[0].isspace() or text[-1] == " " or SPACED(text):
             return self.plain(text)  # runs of white space are parted otherwise
-        return self.plain(first) + b"".join([self[p] for p in rest])
+        first, *rest = text.split(" ")
+        return self.plain(first) + b"".join(map(self.__getitem__, rest))
 
 
 def tokenizer(path: str) -> Tokenizer:
