@@ -24,7 +24,7 @@ HOT = 1 / 1000
 #: No key is hot where a side has no more rows than one task may well take.
 COLD = 20_000
 
-__all__ = ["BROADCAST_BYTES", "cut", "discard", "forget", "held", "join_checked", "join_hot", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
+__all__ = ["BROADCAST_BYTES", "cut", "discard", "forget", "held", "join_checked", "join_hot", "join_shuffled", "open_input", "open_output", "scratch", "shared_dir", "ship", "strings", "utf32"]
 
 
 _SHIPPED: set[str] = set()
@@ -73,7 +73,16 @@ def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row
     The size is the rows times row_bytes, or the sum of size, for rows of any width.
     """
     n = right.count() * row_bytes if size is None else right.agg(F.sum(size + row_bytes).alias("n")).first().n or 0
-    return left.join(F.broadcast(right) if n <= BROADCAST_BYTES else right, on, how)
+    return left.join(F.broadcast(right), on, how) if n <= BROADCAST_BYTES else join_shuffled(left, right, on, how)
+
+
+def join_shuffled(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """left joined to right, neither of them broadcast, whatever sizes Catalyst assumes.
+
+    It takes exploded rows for no larger than their input and files for their compressed
+    bytes, so a side of gigabytes may look small enough for the driver.
+    """
+    return left.join(right.hint("merge"), on, how)
 
 
 def join_hot(left: DataFrame, right: DataFrame, on: str, share: float = HOT) -> DataFrame:

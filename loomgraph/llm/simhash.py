@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.components import components
-from loomgraph.llm.shared import cut, join_checked, join_hot
+from loomgraph.llm.shared import cut, join_checked, join_hot, join_shuffled
 
 BITS, SHINGLE, SEED = 64, 4, 42
 #: What a candidate costs, in probes: probes are spread evenly, candidates gather at common values in few tasks.
@@ -190,7 +190,7 @@ def _near(distance: int) -> Column:
 def links(fps: DataFrame, distance: int, by: Plan | None = None) -> DataFrame:
     """a < b (signed order): all pairs of distinct fingerprints that differ in at most so many bits."""
     home, probe = _sides(fps, by or plan(fps, distance))
-    return home.join(probe, ["part", "value"]).filter((F.col("a") < F.col("b")) & _near(distance)).select("a", "b").distinct()
+    return join_shuffled(home, probe, ["part", "value"]).filter((F.col("a") < F.col("b")) & _near(distance)).select("a", "b").distinct()
 
 
 def roots(fps: DataFrame, distance: int, by: Plan | None = None, crowd: int = CROWD) -> DataFrame:
@@ -207,16 +207,16 @@ def roots(fps: DataFrame, distance: int, by: Plan | None = None, crowd: int = CR
     crowded = cut(home.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a")).filter(F.col("n") > crowd), len(by.parts) * n)
     pairs = lambda joined: joined.filter((F.col("a") != F.col("b")) & _near(distance)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     if crowded.isEmpty():
-        return components(cut(pairs(home.join(probe, ["part", "value"])).distinct()))
+        return components(cut(pairs(join_shuffled(home, probe, ["part", "value"])).distinct()))
     width = 32  # two numbers and their overhead
     marks = crowded.select("part", "value")
-    quiet = join_checked(home, marks, ["part", "value"], "left_anti", width).join(probe, ["part", "value"])
+    quiet = join_shuffled(join_checked(home, marks, ["part", "value"], "left_anti", width), probe, ["part", "value"])
     busy_home = cut(join_checked(home, marks, ["part", "value"], "left_semi", width))
     busy_probe = cut(join_checked(probe, marks, ["part", "value"], "left_semi", width))
     stars = join_checked(busy_probe, crowded.select("part", "value", "a"), ["part", "value"], "inner", width)
     found = cut(pairs(quiet).unionByName(pairs(stars)).distinct())
     known = components(found)
-    own = lambda df, c, r: df.join(known.select(F.col("node").alias(c), F.col("root").alias(r)), c, "left").withColumn(r, F.coalesce(r, c))
+    own = lambda df, c, r: join_checked(df, known.select(F.col("node").alias(c), F.col("root").alias(r)), [c], "left", width).withColumn(r, F.coalesce(r, c))
     busy_home, busy_probe = cut(own(busy_home, "a", "ra")), cut(own(busy_probe, "b", "rb"))
     sizes = busy_home.groupBy("part", "value", "ra").agg(F.count(F.lit(1)).alias("n"))
     largest = cut(sizes.groupBy("part", "value").agg(F.max_by("ra", F.struct("n", "ra")).alias("main")), len(by.parts) * n)
@@ -224,8 +224,8 @@ def roots(fps: DataFrame, distance: int, by: Plan | None = None, crowd: int = CR
     salted = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = lambda df, c: df.withColumn("salt", F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int"))
     h, p, key = inner(busy_home), inner(busy_probe).drop("main"), ["part", "value", "salt"]
-    outside = salted(h.filter("ra <> main").drop("main")).join(dealt(p, "b"), key)
-    inside = dealt(h.filter("ra = main").drop("main"), "a").join(salted(inner(busy_probe).filter("rb <> main").drop("main")), key)
+    outside = join_shuffled(salted(h.filter("ra <> main").drop("main")), dealt(p, "b"), key)
+    inside = join_shuffled(dealt(h.filter("ra = main").drop("main"), "a"), salted(inner(busy_probe).filter("rb <> main").drop("main")), key)
     more = cut(pairs(outside.unionByName(inside).filter("ra <> rb")).distinct())
     return known if more.isEmpty() else components(known.filter("node <> root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
@@ -242,7 +242,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4) -> DataFrame:
     table = cut(fingerprints(docs))
     n = table.count()
     nodes = cut(table.groupBy("fp").agg(F.min("doc_id").alias("first")), n)
-    moved = cut(nodes.join(roots(nodes.select("fp"), distance).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), 2 * n)
+    moved = cut(join_checked(nodes, roots(nodes.select("fp"), distance).withColumnRenamed("node", "fp"), ["fp"], "left", 32).select("fp", "first", F.coalesce("root", "fp").alias("root")), 2 * n)
     least = cut(moved.groupBy("root").agg(F.min("first").alias("component_id")), n)
     ids = cut(join_hot(moved, least, "root").select("fp", "component_id"), 2 * n)
     return join_hot(table, ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

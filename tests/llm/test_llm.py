@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomgraph.llm import decontam, langid, pieces, pii, quality, resample, simhash, tokenfiles, warc
+from loomgraph.llm import decontam, langid, pieces, pii, quality, resample, shared, simhash, tokenfiles, warc
 from loomgraph.llm.components import components
 from loomgraph.llm.shared import scratch
 
@@ -698,6 +698,23 @@ def test_links_are_complete(spark):
     assert {tuple(r) for r in simhash.links(frame, 4, simhash.plan(frame, 4, (2, 5))).collect()} == want
 
 
+def joins(df):
+    """The join operators of the plan."""
+    return set(re.findall(r"(\w+Join|CartesianProduct)\b", df._jdf.queryExecution().executedPlan().toString()))
+
+
+def test_uncounted_sides_stay_off_the_driver(spark, tmp_path, monkeypatch):
+    """Exploded probes and sides beyond the limit are shuffled, though their files look small."""
+    spark.range(3000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    frame = spark.read.parquet(str(tmp_path / "fps"))
+    assert joins(simhash.links(frame, 4, simhash.plan(frame, 4))) == {"SortMergeJoin"}
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert joins(shared.join_checked(frame, frame, ["fp"], how)) == {"BroadcastHashJoin"}
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 3000 * 32 - 1)
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        assert joins(shared.join_checked(frame, frame, ["fp"], how, 32)) == {"SortMergeJoin"}
+
+
 def test_crowded_values(spark):
     """Balls of hundreds of fingerprints, some bridged, in few part values: the components that all pairs give."""
     rng = np.random.default_rng(8)
