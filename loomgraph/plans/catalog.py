@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import shutil
 import sqlite3
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,7 @@ from loomgraph.operators.fixpoint import reason
 from loomgraph.operators.store import TripleStore
 from loomgraph.plans.ir import Atom, Program, Rule, Var
 from loomgraph.plans.parser import parse_program, read_program
-from loomgraph.session import scratch
+from loomgraph.session import discard, scratch
 from loomgraph.sources import tables, text, triplify
 from loomgraph.sources.turtle import documents
 
@@ -463,12 +467,35 @@ DROP_SQL = ROWS_SQL % ("'segment'", "c_mktsegment", " WHERE c_custkey % 7 <> 0 A
 
 
 def _database(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, dict[str, str]]:
-    """A database in memory, with a table of triples some of whose fields are null."""
+    """A database with a table of triples some of whose fields are null.
+
+    A database in memory, or in a folder, belongs to one process. So the driver loads a
+    folder from files that tasks wrote and packs it: any number of processes may read an archive.
+    """
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     rows = c.select(F.col("c_custkey").alias("id"), triplify.node("customer", "c_custkey").alias("subject"), F.when(F.col("c_custkey") % 7 != 0, "segment").alias("predicate"), F.when(F.col("c_custkey") % 5 != 0, F.col("c_mktsegment")).alias("object"))
-    url, properties = f"jdbc:derby:memory:{name};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    rows.coalesce(1).write.jdbc(url, "facts", "overwrite", properties)
-    return url, properties
+    loaded = scratch(spark, "jdbc")
+    rows.write.csv(loaded, emptyValue='""', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)  # a null is an empty field
+    base, driver = _local(scratch(spark, "derby")), spark._jvm.org.apache.derby.jdbc.EmbeddedDriver()
+    none = spark._jvm.java.util.Properties()
+    db = driver.connect(f"jdbc:derby:directory:{base}/{name};create=true", none)
+    statement = db.createStatement()
+    statement.execute('CREATE TABLE facts("id" BIGINT, "subject" VARCHAR(32672), "predicate" VARCHAR(32672), "object" VARCHAR(32672))')
+    for part in sorted(Path(_local(loaded)).glob("part-*")):
+        statement.execute(f"""CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, 'FACTS', '{str(part).replace("'", "''")}', ',', '"', 'UTF-8', 0)""")
+    db.close()
+    try:
+        driver.connect(f"jdbc:derby:directory:{base}/{name};shutdown=true", none)
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # how Derby says that it shut down
+            raise
+    with zipfile.ZipFile(f"{base}.jar", "w", zipfile.ZIP_STORED) as z:
+        for f in sorted(Path(base).rglob("*")):
+            if f.suffix != ".lck":
+                z.write(f, f.relative_to(base))
+    discard(spark, loaded)
+    shutil.rmtree(base)
+    return f"jdbc:derby:jar:({base}.jar){name}", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
 
 
 @query(EMPTY_SQL)

@@ -1,5 +1,8 @@
+import os
 import random
 import sqlite3
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -344,6 +347,19 @@ def test_catalogue(spark, name):
     assert got(df.select(*cols)) == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall())
 
 
+def test_database_is_read_by_other_processes(spark):
+    """Executors are processes of their own: what one of them reads is what the driver loaded."""
+    from loomgraph.plans.catalog import _database
+
+    url, properties = _database(spark, SF, "shared")
+    assert spark.read.jdbc(url, "facts", properties=properties).count() == spark.read.parquet(f"{SF}/customer.parquet").count()
+    code = f"""from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", s.read.jdbc({url!r}, "facts", properties={properties!r}).filter("object IS NULL").count())"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, env={k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))})
+    assert f"rows {spark.read.parquet(f'{SF}/customer.parquet').filter('c_custkey % 5 = 0').count()}" in out.stdout, out.stderr[-2000:]
+
+
 def test_stream(spark, tmp_path):
     from loomgraph.streaming.incremental import latest, maintain
 
