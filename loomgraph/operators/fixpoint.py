@@ -30,10 +30,14 @@ Sizes = dict[Key, int]
 MOST_PIECES = 6
 #: A closure that grows by more in a round isn't evaluated by doubling.
 MOST_GROWTH = 2.5
+#: Nodes with more neighbours aren't compared; classes of alike nodes that are broadcast have so many members at most.
+MOST_NEIGHBOURS, MOST_MEMBERS = 16, 250_000
 
 
 @dataclass
 class Round:
+    """new_rows: where alike nodes were taken together, those of one node of each class."""
+
     stratum: tuple[str, ...]
     number: int
     new_rows: int
@@ -159,6 +163,72 @@ def _close(out: Result, t: str, e: str, side: str, max_rounds: int) -> DataFrame
     return cut(_union([closed, own, joined]).distinct())
 
 
+def _free(rules: list[Rule], group: list[Key], e: Key, side: int) -> set[tuple[Key, int]] | None:
+    """The positions that hold nodes from that side of e and never compare them; None if a rule would.
+
+    A derived position is free if every rule fills it with a variable that stands once in
+    the head and once in the body, there at a free position. Other variables at free
+    positions must be bound by one that isn't free, or be used nowhere else.
+    """
+    free = {(k, i) for k in group for i in (0, 1)} | {(e, side)}
+    uses = [Counter(v for a in r.body for v in a.variables()) for r in rules]
+    places = [{v: [(a.key, i) for a in r.body for i, t in enumerate(a.args) if t == Var(v)] for v in u} for r, u in zip(rules, uses, strict=True)]
+
+    def passed(r: Rule, at: dict, i: int) -> bool:
+        t = r.head.args[i]
+        return isinstance(t, Var) and r.head.args.count(t) == 1 and len(at[t.name]) == 1 and at[t.name][0] in free
+
+    while lost := {(r.head.key, i) for r, at in zip(rules, places, strict=True) for i in (0, 1) if (r.head.key, i) in free and not passed(r, at, i)}:
+        free -= lost
+    for r, at in zip(rules, places, strict=True):
+        for v, where in at.items():
+            if all(x in free for x in where) and (len(where) > 1 or any(t == Var(v) and (r.head.key, i) not in free for i, t in enumerate(r.head.args))):
+                return None
+    return free if len(free) > 1 else None
+
+
+def _alike(out: Result, rules: list[Rule], group: list[Key]) -> tuple[Key, DataFrame, DataFrame, set[tuple[Key, int]]] | None:
+    """(e, e of one node of each class, (node, rep), free positions) where many nodes of a side of e have the same neighbours.
+
+    Nodes that stand nowhere else in what the rules read, and are never compared, are
+    interchangeable: a fact holds for one of a class if it holds for all.
+    """
+    atoms = [a for r in rules for a in (r.head, *r.body)]
+    if any(len(a.args) != 2 or a.predicate == ANY for a in atoms):
+        return None
+    outside = sorted({a.key for a in atoms} - set(group))
+    candidates = [(e, side, free) for e in outside for side in (0, 1) if (free := _free(rules, group, e, side))]
+    if not candidates or any(not out.base.relation(*k, distinct=False).isEmpty() for k in group):
+        return None
+    named = [t.value for a in atoms for t in a.args if not isinstance(t, Var)]
+    for e, side, free in candidates:
+        edges = cut(out.scan(e).distinct())
+        own, other = ("s", "o") if side == 0 else ("o", "s")
+        solid = _union([edges.select(F.col(other).alias("node")), *[out.scan(k).select(F.col(c).alias("node")) for k in outside if k != e for c in ("s", "o")]])
+        few = edges.groupBy(F.col(own).alias("node")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= MOST_NEIGHBOURS).select("node")
+        few = few.filter(F.col("node").isNotNull() & ~F.col("node").isin(named)).join(solid, "node", "left_anti")
+        around = edges.select(F.col(own).alias("node"), F.col(other).alias("x")).join(few, "node").groupBy("node").agg(F.sort_array(F.collect_set("x")).alias("all"))
+        around = cut(around)
+        members = cut(around.join(around.groupBy("all").agg(F.min("node").alias("rep")), "all").select("node", "rep"))
+        n = members.agg(F.count(F.lit(1)).alias("nodes"), F.count_distinct("rep").alias("classes")).first()
+        forget(around)
+        if n.nodes and n.nodes >= 2 * n.classes:
+            return e, cut(edges.join(members.filter("node <> rep").select(F.col("node").alias(own)), own, "left_anti")), members, free
+        forget(edges, members)
+    return None
+
+
+def _expand(df: DataFrame, columns: list[str], members: DataFrame) -> DataFrame:
+    """The rows of df, in which one node stands for each class, with all members in these columns."""
+    small = members.count() <= MOST_MEMBERS
+    for c in columns:
+        named = members.select(F.col("rep").alias(c), "node")
+        # what few rows become is made by all cores
+        df = df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism) if small else df
+        df = df.join(F.broadcast(named) if small else named, c, "left").withColumn(c, F.coalesce("node", c)).drop("node")
+    return df.select("s", "o")
+
+
 def reason(base: TripleStore, program: Program, max_rounds: int = 10_000, new_facts: TripleStore | None = None, known: Result | None = None, statistics: bool = False) -> Result:
     """All consequences of the program.
 
@@ -190,12 +260,19 @@ def reason(base: TripleStore, program: Program, max_rounds: int = 10_000, new_fa
         rules = [r for r in program.rules if r.head.key in group]
         fixed = [r for r in rules if not any(a.key in group for a in r.body)]
         began = time.time()
+        alike = _alike(out, rules, group)
+
+        def read(key: Key, alike=alike) -> DataFrame:
+            return alike[1] if alike and key == alike[0] else out.scan(key)
+
         full: dict[Key, list[DataFrame]] = {}
         for key in group:
-            heads = [plan(r, find, sizes=sizes) for r in fixed if r.head.key == key]
+            heads = [plan(r, lambda _, a, read=read: read(a.key), sizes=sizes) for r in fixed if r.head.key == key]
             full[key] = [cut(_union([base.relation(*key, distinct=False), *heads]).distinct())]
-        _rounds(rules, group, full, {k: p[0] for k, p in full.items()}, out.scan, max_rounds, out.rounds, began, sizes)
+        _rounds(rules, group, full, {k: p[0] for k, p in full.items()}, read, max_rounds, out.rounds, began, sizes)
         relations |= {k: _union(p) for k, p in full.items()}
+        if alike:
+            relations |= {k: _expand(relations[k], [c for i, c in enumerate(("s", "o")) if (k, i) in alike[3]], alike[2]) for k in group}
     return out
 
 

@@ -347,6 +347,34 @@ def test_catalogue(spark, name):
     assert got(df.select(*cols)) == sorted(con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall())
 
 
+SG = "sg(?x, ?y) :- up(?x, ?z), up(?y, ?z).\nsg(?x, ?y) :- up(?x, ?a), sg(?a, ?b), up(?y, ?b)."
+
+
+@pytest.mark.parametrize("rules, head, together", [
+    (SG, "sg", True),
+    ("p(?x, ?y) :- up(?x, ?y).\np(?x, ?z) :- p(?x, ?y), up(?y, ?z).\np(?x, ?y) :- other(?x, ?y).", "p", False),
+    ("p(?x, ?y) :- up(?x, ?z), up(?y, ?z).\np(?x, ?y) :- p(?x, ?a), p(?a, ?y).", "p", False),
+    ("p(?x, ?x) :- up(?x, ?z).\np(?x, ?y) :- p(?x, ?a), up(?y, ?a).", "p", False),
+    (SG + "\nsg(?x, ?y) :- up(leaf3, ?a), sg(?a, ?b), up(?x, ?b), up(?y, ?b).", "sg", True),
+    ("sg(?x, leaf2) :- up(?x, ?z).\nsg(?x, ?y) :- up(?x, ?a), sg(?a, ?y).", "sg", True),
+    ("c(?x, ?y) :- up(?z, ?x), up(?z, ?y).\nc(?x, ?y) :- c(?a, ?b), up(?a, ?x), up(?b, ?y).", "c", False),
+])
+def test_alike_nodes_are_taken_together(spark, monkeypatch, rules, head, together):
+    """The relation that all nodes one by one give, from one node of each class where rules don't compare nodes."""
+    from loomgraph.operators import fixpoint
+
+    rng = random.Random(4)
+    up = {(f"leaf{i}", f"mid{rng.randrange(3)}") for i in range(30)} | {("leaf1", "mid0"), ("leaf1", "mid1"), ("leaf2", "leaf5"), ("leaf6", "leaf6")} | {(f"mid{i}", f"top{i % 2}") for i in range(3)}
+    other = {("leaf7", "mid1"), ("top0", "leaf8")} if "other" in rules else set()
+    store = TripleStore(spark.createDataFrame([(s, "up", o) for s, o in sorted(up)] + [(s, "other", o) for s, o in sorted(other)], "s string, p string, o string"))
+    found, seen = fixpoint._alike, []
+    monkeypatch.setattr(fixpoint, "_alike", lambda *a: seen.append(found(*a)) or seen[-1])
+    have = got(reason(store, parse_program(rules)).relation(head))
+    monkeypatch.setattr(fixpoint, "_alike", lambda *a: None)
+    assert have == got(reason(store, parse_program(rules)).relation(head))
+    assert bool(seen and seen[0]) == together
+
+
 def test_database_is_read_by_other_processes(spark):
     """Executors are processes of their own: what one of them reads is what the driver loaded."""
     from loomgraph.plans.catalog import _database
