@@ -261,8 +261,8 @@ def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
     again = per.filter("n > 1 AND own > 0").select("doc_id")
     if again.isEmpty():
         return out
-    prints = table.filter(own).join(again, "doc_id", "left_semi").select("doc_id", "fingerprint").distinct()
-    rows = docs.join(again, "doc_id", "left_semi").select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    prints = cut(join_checked(table.filter(own), again, ["doc_id"], "left_semi", 16).select("doc_id", "fingerprint").distinct())
+    rows = join_checked(docs, again, ["doc_id"], "left_semi", 16).select("doc_id", F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -271,5 +271,5 @@ def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
 
     schema = rows.schema.fields
     named = rows.mapInArrow(run, f"doc_id {schema[0].dataType.simpleString()}, fingerprint string, r {schema[2].dataType.simpleString()}")
-    least = named.join(prints, ["doc_id", "fingerprint"], "left_semi").groupBy("doc_id", "fingerprint").agg(F.min_by("r", F.xxhash64("r")).alias("r"))
+    least = join_checked(named, prints, ["doc_id", "fingerprint"], "left_semi").groupBy("doc_id", "fingerprint").agg(F.min_by("r", F.xxhash64("r")).alias("r"))
     return out.unionByName(least.select("r.*"))

@@ -715,6 +715,15 @@ def test_uncounted_sides_stay_off_the_driver(spark, tmp_path, monkeypatch):
         assert joins(shared.join_checked(frame, frame, ["fp"], how, 32)) == {"SortMergeJoin"}
 
 
+def test_near_duplicates_stage_stays_off_the_driver(spark, odd, monkeypatch):
+    """Rows of repeated ids beyond the limit are shuffled, and the same rows stay."""
+    want = simhash.keep_first(odd)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)
+    kept = simhash.keep_first(odd)
+    assert joins(kept) == {"SortMergeJoin"}
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_crowded_values(spark):
     """Balls of hundreds of fingerprints, some bridged, in few part values: the components that all pairs give."""
     rng = np.random.default_rng(8)
